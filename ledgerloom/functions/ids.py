@@ -15,7 +15,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-_SCIENTIFIC = r"^([0-9]+)(?:[.]([0-9]+))?[eE][+]([0-9]{1,3})$"
+_SCIENTIFIC = "^[0-9]+([.][0-9]+)?[eE][+][0-9]{1,3}$"
 
 DISPLAY_SEPARATOR = " | "
 
@@ -37,11 +37,11 @@ def is_scientific_id(c: Column) -> Column:
 
 
 def _mantissa(c: Column) -> Column:
-    return F.concat(F.regexp_extract(c, _SCIENTIFIC, 1), F.regexp_extract(c, _SCIENTIFIC, 2))
+    return F.translate(F.substring_index(F.lower(c), "e+", 1), ".", "")
 
 
 def _whole_length(c: Column) -> Column:
-    return F.regexp_extract(c, _SCIENTIFIC, 3).try_cast("int") + F.lit(1)
+    return F.substring_index(F.lower(c), "e+", -1).try_cast("int") + F.lit(1)
 
 
 def expand_id(c: Column) -> Column:
