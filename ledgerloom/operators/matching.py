@@ -8,6 +8,7 @@ A *side* is a narrow table derived from one file:
     ordinal   row order
     bank      paying bank (ledger only)
     record    JSON snapshot of the row (only when asked for)
+    row       the row itself as a struct (only when asked for)
 """
 
 from __future__ import annotations
@@ -41,10 +42,14 @@ def side(
     *,
     bank_col: str | None = None,
     record_cols: list[str] | None = None,
+    row_cols: list[str] | None = None,
     money: Money = DEFAULT_MONEY,
     strict: bool = False,
 ) -> DataFrame:
-    """Narrow view of a file for matching; null-token IDs keep a null `id`."""
+    """Narrow view of a file for matching; null-token IDs keep a null `id`.
+
+    `record_cols` adds a JSON snapshot of those columns, `row_cols` a struct of them.
+    """
     raw = F.col(quoted(id_col)).cast("string")
     parse = strict_amount if strict else parse_amount
     columns = [
@@ -61,6 +66,8 @@ def side(
         columns.append(F.col(quoted(bank_col)).alias("bank"))
     if record_cols:
         columns.append(record_json(record_cols).alias("record"))
+    if row_cols:
+        columns.append(F.struct(*[F.col(quoted(c)) for c in row_cols]).alias("row"))
     return df.select(*columns)
 
 
