@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import feature_names
+from ledgerloom.sources.files import base_name
 
 SEED = 42
 TEST_SHARE = 0.2
@@ -27,10 +28,12 @@ def labelled_set(features: DataFrame, labels: DataFrame) -> DataFrame:
 
     `labels` is (file_name, label_col), one row per file; unlabelled files drop out.
     """
-    named = labels.select(F.col("file_name").alias("file"), "label_col")
-    return features.join(named, "file").withColumn(
-        "label", (F.col("col") == F.col("label_col")).cast("double")
-    ).drop("label_col")
+    return (
+        features.withColumn("file_name", base_name(F.col("file")))
+        .join(labels.select("file_name", "label_col"), "file_name")
+        .withColumn("label", (F.col("col") == F.col("label_col")).cast("double"))
+        .drop("file_name", "label_col")
+    )
 
 
 def _hash_cut(df: DataFrame, share: float, seed: int) -> DataFrame:
@@ -158,9 +161,9 @@ def validate_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
 
     fail without any valid label, warn with fewer than three, else ok.
     """
-    named = labels.select(F.col("file_name").alias("file"), "label_col")
     valid = F.length(F.trim(F.coalesce("label_col", F.lit("")))) > 0
-    counts = files.select("file").distinct().join(named, "file").agg(
+    names = files.select("file").distinct().select(base_name(F.col("file")).alias("file_name"))
+    counts = names.join(labels.select("file_name", "label_col"), "file_name").agg(
         F.count(F.lit(1)).alias("labelled_files"), F.count_if(valid).alias("valid_labels")
     )
     verdict = (
@@ -173,8 +176,9 @@ def validate_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
 
 def compare_with_labels(best: DataFrame, labels: DataFrame) -> DataFrame:
     """Expected and predicted column per labelled file."""
-    named = labels.select(F.col("file_name").alias("file"), F.col("label_col").alias("expected"))
-    return named.join(best, "file", "left").select(
-        "file", "expected", F.col("col").alias("predicted"), F.col("score").alias("confidence"),
+    named = labels.select("file_name", F.col("label_col").alias("expected"))
+    found = best.withColumn("file_name", base_name(F.col("file")))
+    return named.join(found, "file_name", "left").select(
+        "file_name", "expected", F.col("col").alias("predicted"), F.col("score").alias("confidence"),
         F.coalesce(F.col("col") == F.col("expected"), F.lit(False)).alias("match"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,12 @@ AMOUNT_WORDS = [
 ]
 
 
+def file_path() -> Column:
+    """Path of the file a row comes from; the metadata column is percent-encoded."""
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
+
+
 def scan_text(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """Lines of text files with file path, block start and a row number within the task."""
     reader = spark.read.option("recursiveFileLookup", True)
@@ -33,7 +41,7 @@ def scan_text(spark: SparkSession, path: str | list[str], glob: str | None = Non
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -66,6 +74,11 @@ def header_lines(spark: SparkSession, path: str | list[str], glob: str | None =
     )
 
 
+def base_name(file: Column) -> Column:
+    """File name of a path, which labels are keyed by."""
+    return F.substring_index(file, "/", -1)
+
+
 def safe_names(names: list[str | None]) -> list[str]:
     """Header names made unique: blanks become `Unnamed: n`, repeats get `.1`, `.2`."""
     out: list[str] = []
@@ -114,7 +127,7 @@ def read_csv(
         .csv(path)
         .select(
             *[F.col(quoted(n)) for n in names],
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias(FILE),
+            file_path().alias(FILE),
             row_order().alias(ORDINAL),
         )
     )
@@ -139,7 +152,8 @@ def read_directory(
     groups = found.groupBy("header", "encoding").agg(F.collect_list("path").alias("paths"))
     out: DataFrame | None = None
     for group in groups.toLocalIterator():
-        wide = read_csv(spark, group["paths"], group["encoding"], **options)
+        paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in group["paths"]]  # not globs
+        wide = read_csv(spark, paths, group["encoding"], **options)
         names = [c for c in wide.columns if c not in (FILE, ORDINAL)]
         part = to_long(wide, names, file=F.col(FILE), order=F.col(ORDINAL))
         out = part if out is None else out.unionByName(part)
