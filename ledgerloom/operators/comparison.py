@@ -16,7 +16,7 @@ from ledgerloom.operators.matching import (
     MISSING_IN_OURS,
     last_amounts,
 )
-from ledgerloom.operators.skew import salted_left_join
+from ledgerloom.operators.skew import SALT_BUCKETS, heavy_keys, salted_left_join
 
 TOLERANCE = "0.01"
 CONFIDENCE_NEEDED = 30
@@ -125,11 +125,13 @@ def with_legacy_amount(
     return df.withColumn(name, legacy_amount(text, money))
 
 
-def _with_status(rows: DataFrame, other: DataFrame, order: Column, skew: dict) -> DataFrame:
+def _with_status(
+    rows: DataFrame, other: DataFrame, order: Column, hot: DataFrame, buckets: int
+) -> DataFrame:
     lookup = last_amounts(other).select(
         "id", F.col("amount").alias("other_amount"), F.lit(True).alias("_found")
     )
-    joined = salted_left_join(rows, lookup, "id", order, **skew)
+    joined = salted_left_join(rows, lookup, "id", order, hot, buckets)
     status = (
         F.when(F.col("_found").isNull(), "false")
         .when(F.abs(F.col("amount") - F.col("other_amount")) > _cent(), "amt_diff")
@@ -138,7 +140,9 @@ def _with_status(rows: DataFrame, other: DataFrame, order: Column, skew: dict) -
     return joined.withColumn("status", status).drop("_found")
 
 
-def row_status(rows: DataFrame, other: DataFrame, **skew) -> DataFrame:
+def row_status(
+    rows: DataFrame, other: DataFrame, *, buckets: int = SALT_BUCKETS, **heavy
+) -> DataFrame:
     """Status of every row of one side, duplicates kept.
 
     true      the ID is on the other side and the amounts agree or cannot be compared
@@ -148,10 +152,12 @@ def row_status(rows: DataFrame, other: DataFrame, **skew) -> DataFrame:
     The other side is reduced to the last amount per ID, so each row finds at most one
     partner; heavy and null IDs among the rows are salted.
     """
-    return _with_status(rows, other, F.col("ordinal"), skew)
+    return _with_status(rows, other, F.col("ordinal"), heavy_keys(rows, "id", **heavy), buckets)
 
 
-def status_counts(ours: DataFrame, bank: DataFrame, **skew) -> DataFrame:
+def status_counts(
+    ours: DataFrame, bank: DataFrame, *, buckets: int = SALT_BUCKETS, **heavy
+) -> DataFrame:
     """Rows per status on each side.
 
     A row's status depends only on its ID and amount, so equal rows are counted before
@@ -160,7 +166,8 @@ def status_counts(ours: DataFrame, bank: DataFrame, **skew) -> DataFrame:
 
     def count(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
         grouped = rows.groupBy("id", "amount").agg(F.count(F.lit(1)).alias("n"))
-        found = _with_status(grouped, other, F.col("amount"), skew)
+        hot = heavy_keys(rows, "id", **heavy)
+        found = _with_status(grouped, other, F.col("amount"), hot, buckets)
         return found.groupBy("status").agg(F.sum("n").alias("n")).select(
             F.lit(name).alias("side"), "status", "n"
         )

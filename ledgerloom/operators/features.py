@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import lower_header, strip
 from ledgerloom.functions.money import NUMBER, parse_number
-from ledgerloom.operators.profile import COLUMN, first_values, headers
+from ledgerloom.operators.profile import HEADER, first_cells
 
 # Header words of the ID features.
 TRX_WORDS = ["bank", "trx", "transaction", "id", "ref", "reference"]
@@ -101,7 +101,7 @@ def _id_value_features() -> dict[str, Column]:
     v = F.col("val")
     t = F.col("text")
     length = F.length(t)
-    sample = F.col("rn") <= 50
+    sample = v.isNotNull() & (F.col("rn") <= 50)
     out = {
         "length_mean": F.avg(length),
         "length_std": F.stddev_pop(length),
@@ -134,97 +134,85 @@ def id_features(long: DataFrame) -> DataFrame:
     Count and distinct count cover the whole column, everything else its first values.
     """
     whole = (
-        long.where(F.col("val").isNotNull())
-        .groupBy(*COLUMN)
+        long.groupBy(*HEADER)
         .agg(
-            F.count(F.lit(1)).cast("double").alias("value_count"),
+            F.count("val").cast("double").alias("value_count"),
             F.count_distinct("val").cast("double").alias("distinct_count"),
         )
-        .withColumn("distinct_ratio", F.col("distinct_count") / F.col("value_count"))
+        .withColumn("distinct_ratio", F.try_divide("distinct_count", "value_count"))
     )
     value = _id_value_features()
     sampled = (
-        first_values(long)
+        first_cells(long)
         .withColumn("text", strip(F.col("val")))
-        .groupBy(*COLUMN)
+        .groupBy("file", "position")
         .agg(*[e.alias(n) for n, e in value.items()])
     )
     values = ["value_count", "distinct_count", "distinct_ratio", *value]
-    named = {**_id_name_features(), **_position_features()}
-    base = headers(long).join(whole, COLUMN, "left").join(sampled, COLUMN, "left")
-    name_columns = _id_name_features()
-    return base.fillna(0.0, values).select(
+    base = whole.join(sampled, ["file", "position"]).fillna(0.0, values)
+    return base.select(
         "file",
         "col",
-        *[name_columns[n].alias(n) for n in name_columns],
+        *[e.alias(n) for n, e in _id_name_features().items()],
         *values,
-        *[named[n].alias(n) for n in _position_features()],
+        *[e.alias(n) for n, e in _position_features().items()],
     )
 
 
-def neighbour_context(long: DataFrame) -> DataFrame:
-    """What the two columns on either side of each column look like.
+def _numeric_neighbour() -> Column:
+    """More than half of the first 20 values parse as numbers."""
+    first = F.col("val").isNotNull() & (F.col("rn") <= 20)
+    parsed = parse_number(F.col("val"), ",$").isNotNull()
+    return F.count_if(first & parsed) > F.count_if(first) * 0.5
+
 
-    The neighbours come from lag and lead within a file, not from a self join. A
-    neighbour is numeric when more than half of its first 20 values parse.
+def _with_context(columns: DataFrame) -> DataFrame:
+    """Add what surrounds each column to a table of columns with a `numeric` flag.
+
+    Everything comes from windows over one file, as wide as its header: the two columns
+    on either side from lag and lead, similarly named columns from the list of word masks.
     """
-    numeric = (
-        first_values(long, 20)
-        .groupBy(*COLUMN)
-        .agg(
-            (F.count(parse_number(F.col("val"), ",$")) > F.count(F.lit(1)) * 0.5).alias("numeric")
-        )
-    )
     name = F.lower("col")
     seen = F.struct(
         *[_has(name, *words).alias(k) for k, words in NEAR_WORDS.items()],
         _has(name, *NEAR_AMOUNT_WORDS).alias("near_amount"),
         F.coalesce("numeric", F.lit(False)).alias("numeric"),
     )
-    described = headers(long).join(numeric, COLUMN, "left").withColumn("seen", seen)
-    by_file = W.partitionBy("file").orderBy("position")  # as wide as one header
+    mask = F.lit(0)
+    for bit, word in enumerate(SIMILAR_WORDS):
+        mask = mask.bitwiseOR(F.when(name.contains(word), 1 << bit).otherwise(0))
+    by_position = W.partitionBy("file").orderBy("position")
     around = F.array(
-        F.lag("seen", 2).over(by_file),
-        F.lag("seen", 1).over(by_file),
-        F.lead("seen", 1).over(by_file),
-        F.lead("seen", 2).over(by_file),
+        F.lag("seen", 2).over(by_position),
+        F.lag("seen", 1).over(by_position),
+        F.lead("seen", 1).over(by_position),
+        F.lead("seen", 2).over(by_position),
+    )
+    placed = columns.withColumns({"seen": seen, "mask": mask}).withColumns(
+        {
+            "near": F.filter(around, lambda s: s.isNotNull()),
+            "masks": F.collect_list("mask").over(W.partitionBy("file")),
+        }
     )
-    near = described.withColumn("near", F.filter(around, lambda s: s.isNotNull()))
     any_near = lambda field: F.exists("near", lambda s: s[field])
     amounts = F.size(F.filter("near", lambda s: s["near_amount"]))
-    context = near.select(
-        *COLUMN,
-        "n_cols",
-        *[_flag(any_near(k)).alias(k) for k in NEAR_WORDS],
-        F.least(amounts, F.lit(5)).cast("double").alias("near_amounts"),
-        _flag(~any_near("numeric")).alias("only_numeric"),
-    )
-    return context.join(similar_names(long), COLUMN)
+    similar = F.size(F.filter("masks", lambda other: other.bitwiseAND(F.col("mask")) != 0))
+    others = similar - F.when(F.col("mask") != 0, 1).otherwise(0)
+    return placed.withColumns(
+        {
+            **{k: _flag(any_near(k)) for k in NEAR_WORDS},
+            "near_amounts": F.least(amounts, F.lit(5)).cast("double"),
+            "only_numeric": _flag(~any_near("numeric")),
+            "similar_names": F.least(others, F.lit(5)).cast("double"),
+        }
+    ).drop("seen", "mask", "near", "masks", "numeric")
 
 
-def similar_names(long: DataFrame) -> DataFrame:
-    """Number of other columns of the file sharing a money word with each column, up to 5.
-
-    Columns are counted per word mask first (at most 32 masks per file), so columns are
-    never paired with each other.
-    """
-    mask = F.lit(0)
-    for bit, word in enumerate(SIMILAR_WORDS):
-        mask = mask.bitwiseOR(F.when(F.lower("col").contains(word), 1 << bit).otherwise(0))
-    masked = headers(long).withColumn("mask", mask)
-    per_mask = masked.groupBy("file", F.col("mask").alias("other")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    shared = F.col("mask").bitwiseAND(F.col("other")) != 0
-    counted = (
-        masked.join(per_mask, "file")
-        .groupBy(*COLUMN, "mask")
-        .agg(F.sum(F.when(shared, F.col("n")).otherwise(0)).alias("n"))
-    )
-    others = F.col("n") - F.when(F.col("mask") != 0, 1).otherwise(0)
-    return counted.select(
-        *COLUMN, F.least(others, F.lit(5)).cast("double").alias("similar_names")
-    )
+def neighbour_context(long: DataFrame) -> DataFrame:
+    """What the two columns on either side of each column look like, and how many other
+    columns of the file share a money word with it, up to 5."""
+    columns = first_cells(long, 20).groupBy(*HEADER).agg(_numeric_neighbour().alias("numeric"))
+    return _with_context(columns)
 
 
 def _amount_name_features() -> dict[str, Column]:
@@ -250,7 +238,7 @@ def _amount_number(text: Column) -> Column:
 
 def _amount_value_features() -> dict[str, Column]:
     t, x = F.col("text"), F.col("number")
-    n = F.count(F.lit(1))
+    n = F.greatest(F.count("val"), F.lit(1))
     rate = lambda condition: F.count_if(condition) / n
     of_numbers = lambda condition: F.try_divide(F.count_if(condition), F.count(x))
     digits = F.length(F.regexp_replace(t, _U + r"\D", ""))
@@ -286,14 +274,14 @@ def _amount_value_features() -> dict[str, Column]:
 def amount_features(long: DataFrame) -> DataFrame:
     """61 amount-detection features per column."""
     value = _amount_value_features()
-    sampled = (
-        first_values(long)
+    columns = (
+        first_cells(long)
         .withColumn("text", strip(F.col("val")))
         .withColumn("number", _amount_number(F.col("text")))
-        .groupBy(*COLUMN)
-        .agg(*[e.alias(n) for n, e in value.items()])
+        .groupBy(*HEADER)
+        .agg(_numeric_neighbour().alias("numeric"), *[e.alias(n) for n, e in value.items()])
+        .fillna(0.0, list(value))
     )
-    context = neighbour_context(long)
     name = lower_header(F.col("col"))
     pos, n = F.col("position"), F.col("n_cols")
     near = [*NEAR_WORDS, "near_amounts", "only_numeric", "similar_names"]
@@ -302,8 +290,7 @@ def amount_features(long: DataFrame) -> DataFrame:
         "credit_in_second_half": _flag(_has(name, "credit") & (pos > n / 2)),
         "summary_name": _flag(_has(name, "total", "sum", "net")),
     }
-    base = context.join(sampled, COLUMN, "left").fillna(0.0, list(value))
-    return base.select(
+    return _with_context(columns).select(
         "file",
         "col",
         *[e.alias(k) for k, e in _amount_name_features().items()],

@@ -8,6 +8,7 @@ files; a single file is the one-group case.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import strip
@@ -17,6 +18,7 @@ from ledgerloom.functions.records import quoted
 from ledgerloom.operators.skew import first_per_group
 
 COLUMN = ["file", "position", "col"]
+HEADER = [*COLUMN, "n_cols"]
 SAMPLE_ROWS = 100
 
 
@@ -52,10 +54,14 @@ def headers(long: DataFrame) -> DataFrame:
     return long.select("file", "position", "n_cols", "col").distinct()
 
 
-def first_values(long: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
-    """First `n` non-null values of every column in row order, ranked from 1 in `rn`."""
-    present = long.where(F.col("val").isNotNull())
-    return first_per_group(present, COLUMN, [F.col("ordinal")], n, rank="rn")
+def first_cells(long: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+    """First `n` cells of every column, filled ones before nulls, ranked from 1 in `rn`.
+
+    Nulls only fill up what a sparse column lacks, so every column is present and one
+    pass gives both the headers and the first `n` non-null values. Consumers ignore nulls.
+    """
+    order = [F.col("val").isNull(), F.col("ordinal")]
+    return first_per_group(long, ["position", "file"], order, n, rank="rn")
 
 
 def _measures(distinct: Column) -> list[Column]:
@@ -66,7 +72,7 @@ def _measures(distinct: Column) -> list[Column]:
         F.count("val").alias("non_null"),
         F.count_if(filled).alias("non_empty"),
         distinct.alias("n_distinct"),
-        F.sum(F.length(strip(v))).alias("length_sum"),
+        F.coalesce(F.sum(F.length(strip(v))), F.lit(0)).alias("length_sum"),
         F.count(number).alias("n_numeric"),
         F.count_if(number > 0).alias("n_positive"),
         F.avg(number).alias("mean_value"),
@@ -81,16 +87,13 @@ def column_profile(
     Counting distinct values of whole columns exactly shuffles them once, by column and
     value, so a large column is not one task's work; `approximate_distinct` avoids even that.
     """
-    values = first_values(long, sample) if sample else long.where(F.col("val").isNotNull())
-    values = values.withColumn("number", parse_number(F.col("val")))
+    cells = first_cells(long, sample) if sample else long
+    cells = cells.withColumn("number", parse_number(F.col("val")))
     distinct = (
         F.approx_count_distinct("val") if approximate_distinct else F.count_distinct("val")
     )
-    stats = values.groupBy(*COLUMN).agg(*_measures(distinct))
-    counts = ["non_null", "non_empty", "n_distinct", "length_sum", "n_numeric", "n_positive"]
-    out = headers(long).join(stats, COLUMN, "left").fillna(0, counts)
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return out.select(
+    return cells.groupBy(*HEADER).agg(*_measures(distinct)).select(
         "*",
         ratio("n_distinct", "non_empty").alias("uniqueness"),
         ratio("length_sum", "non_null").alias("mean_length"),
@@ -114,21 +117,18 @@ def amount_candidates(long: DataFrame) -> DataFrame:
     money = F.lit(False)
     for word in CANDIDATE_WORDS:
         money = money | F.lower("col").contains(word)
-    # Row rank counts null cells too: the first five rows, then their non-null values.
+    # The first five rows count null cells too; the values are those left non-null.
     top = first_per_group(
-        long.where(money), COLUMN, [F.col("ordinal")], CANDIDATE_ROWS, rank="row_rank"
-    )
-    values = first_per_group(
-        top.where(F.col("val").isNotNull()), COLUMN, [F.col("ordinal")], CANDIDATE_VALUES, rank="rn"
+        long.where(money), ["position", "file"], [F.col("ordinal")], CANDIDATE_ROWS, rank="row_rank"
     )
+    by_column = W.partitionBy(*COLUMN).orderBy("row_rank")  # at most 5 rows
+    counted = top.withColumn("nth", F.count("val").over(by_column))
+    used = F.col("val").isNotNull() & (F.col("nth") <= CANDIDATE_VALUES)
     numeric = parse_number(F.col("val"), ",$").isNotNull()
-    stats = values.groupBy(*COLUMN).agg(
-        F.count(F.lit(1)).alias("n_values"), F.count_if(numeric).alias("n_numeric")
-    )
-    found = headers(long).where(money).join(stats, COLUMN, "left").fillna(0, ["n_values", "n_numeric"])
-    return found.where(F.col("n_numeric") >= F.col("n_values") * 0.7).select(
-        *COLUMN, "n_values", "n_numeric"
+    stats = counted.groupBy(*COLUMN).agg(
+        F.count_if(used).alias("n_values"), F.count_if(used & numeric).alias("n_numeric")
     )
+    return stats.where(F.col("n_numeric") >= F.col("n_values") * 0.7)
 
 
 def header_listing(long: DataFrame, files: int | None = 20) -> DataFrame:

@@ -31,19 +31,16 @@ def salted_left_join(
     lookup: DataFrame,
     key: str,
     order: Column,
-    *,
+    hot: DataFrame,
     buckets: int = SALT_BUCKETS,
-    share: float = 0.002,
-    min_rows: int = 100_000,
 ) -> DataFrame:
     """Left join of raw rows to a lookup that is unique on `key`.
 
-    Rows of heavy and null keys are spread over `buckets` salts taken from their
-    ordinal, so a retried task gives the same answer; the lookup rows of the heavy
-    keys, at most 1/share of them, are repeated once per salt.
+    `hot` comes from `heavy_keys`. Rows of heavy and null keys are spread over `buckets`
+    salts taken from their order, so a retried task gives the same answer; the lookup
+    rows of the heavy keys are repeated once per salt.
     """
-    hot = heavy_keys(rows, key, share, min_rows).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot)  # at most 1/share keys
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most 1/share keys
     spread = F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int")
     left = rows.join(hot, key, "left").withColumn(
         "_salt",

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.money import DEFAULT_MONEY, Money, is_number, parse_amount, parse_number
 from ledgerloom.functions.records import quoted
-from ledgerloom.operators.profile import SAMPLE_ROWS, first_values, to_long
+from ledgerloom.operators.profile import COLUMN, first_cells, to_long
 
 FILE_GLOB = "*.csv"
 FALLBACK_ENCODING = "ISO-8859-1"
@@ -188,19 +188,15 @@ def column_policy(long: DataFrame) -> DataFrame:
     id_word = name.rlike("(^|[^a-z])id([^a-z]|$)") | (
         name.endswith("id") & ~name.endswith("paid")
     )
-    parsed = (
-        first_values(long, 10)
-        .groupBy("file", "position", "col")
-        .agg((F.count_if(is_number(F.col("val"))) / F.count(F.lit(1))).alias("numeric_share"))
-    )
-    listed = long.select("file", "position", "n_cols", "col").distinct()
+    parsed = is_number(F.col("val")) & F.col("val").isNotNull()
+    share = F.try_divide(F.count_if(parsed), F.count("val")).alias("numeric_share")
     policy = (
         F.when(id_word | _contains(name, ID_WORDS), "id")
         .when(_contains(name, AMOUNT_WORDS), "amount")
         .when(F.col("numeric_share") > 0.7, "numeric")
         .otherwise("text")
     )
-    return listed.join(parsed, ["file", "position", "col"], "left").select(
+    return first_cells(long, 10).groupBy(*COLUMN).agg(share).select(
         "file", "position", "col", "numeric_share", policy.alias("policy")
     )
 
@@ -224,8 +220,3 @@ def apply_policy(
 def preview(df: DataFrame, rows: int = 3, order: str = ORDINAL) -> DataFrame:
     """First rows of a file in row order."""
     return df.orderBy(order).limit(rows)
-
-
-def sample_long(df: DataFrame, columns: list[str], n: int = SAMPLE_ROWS) -> DataFrame:
-    """First values of each column of one file in long form."""
-    return first_values(to_long(df, columns, file=F.lit(""), order=F.col(ORDINAL)), n)
