@@ -75,7 +75,8 @@ def id_role_bank(spark, sf):
 
 def _amount_scores(spark, sf):
     words = kw.detection_keywords(kw.seed_keywords(spark), "bank", spark)
-    return rl.amount_scores(profile(spark, sf), words)
+    long = long_table(spark, sf)
+    return rl.amount_scores(pf.column_profile(long), words, pf.headers(long))
 
 
 def amount_role(spark, sf):
@@ -167,9 +168,8 @@ def keywords_changed(spark, sf):
     part = tables.read(spark, sf, "part")
     table = keyword_table(spark, sf)
     changes = spark.sql(CHANGES, part=part)
-    top = part.agg(F.max("p_partkey").alias("_top"))
-    fresh = changes.withColumn("_one", F.lit(1)).join(top.withColumn("_one", F.lit(1)), "_one")
-    fresh = fresh.withColumn("id", (F.col("id") + F.col("_top")).cast("int")).drop("_one", "_top")
+    top = part.agg(F.max("p_partkey")).scalar()
+    fresh = changes.withColumn("id", (F.col("id") + top).cast("int"))
     added = kw.add_keywords(table, fresh)
     update = part.select(
         (F.col("p_partkey") + 1).cast("int").alias("id"),

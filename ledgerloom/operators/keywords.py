@@ -196,6 +196,4 @@ def detection_keywords(table: DataFrame | None, file_type: str, spark: SparkSess
         return fallback
     kind = None if file_type == "unknown" else file_type
     chosen = select_keywords(table, kind).select("keyword", "priority", "is_exact_match")
-    any_row = chosen.limit(1).select(F.lit(1).alias("_k"))
-    unused = fallback.withColumn("_k", F.lit(1)).join(any_row, "_k", "left_anti").drop("_k")
-    return chosen.unionByName(unused)
+    return chosen.unionByName(fallback.where(~chosen.exists()))

@@ -36,44 +36,34 @@ def labelled_set(features: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _hash_cut(df: DataFrame, share: float, seed: int) -> DataFrame:
-    """Mark the `share` of each label with the lowest hashes as `test`, exactly.
+def split(labelled: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
+    """Deterministic stratified split: adds `train` and `test` flags.
 
-    Rows are counted per hash bucket; only the bucket holding the cut is ranked, so no
-    task sees a whole class.
+    The `share` of each label with the lowest hashes is the test set, exactly. Rows are
+    counted per hash bucket and ranked within their bucket only, so no task sees a whole
+    class. With fewer than two rows in a class, every row is used for both.
     """
-    hashed = df.withColumn("_h", F.xxhash64("file", "col", F.lit(seed))).withColumn(
+    hashed = labelled.withColumn("_h", F.xxhash64("file", "col", F.lit(seed))).withColumn(
         "_b", F.pmod("_h", F.lit(_BUCKETS)).cast("int")
     )
     buckets = hashed.groupBy("label", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    running = W.partitionBy("label").orderBy("_b")  # at most 4096 rows per label
-    placed = buckets.select(
-        "label", "_b",
-        (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(W.partitionBy("label")).alias("_total"),
-    ).withColumn("_take", F.round(F.col("_total") * share).cast("bigint") - F.col("_before"))
+    # These windows run over the bucket counts, at most 4096 rows per label.
+    by_label = W.partitionBy("label")
+    before = F.sum("_n").over(by_label.orderBy("_b")) - F.col("_n")
+    take = F.round(F.sum("_n").over(by_label) * share).cast("bigint") - before
+    class_rows = lambda label: F.sum(
+        F.when(F.col("label") == label, F.col("_n")).otherwise(0)
+    ).over(W.partitionBy(F.lit(0)))
+    few = (class_rows(1) < 2) | (class_rows(0) < 2)
+    placed = buckets.select("label", "_b", take.alias("_take"), few.alias("_few"))
     inside = W.partitionBy("label", "_b").orderBy("_h", "file", "col")
-    return (
-        hashed.join(placed.select("label", "_b", "_take"), ["label", "_b"])
-        .withColumn("test", F.row_number().over(inside) <= F.col("_take"))
-        .drop("_h", "_b", "_take")
+    ranked = hashed.join(placed, ["label", "_b"]).withColumn(
+        "_test", F.row_number().over(inside) <= F.col("_take")
     )
-
-
-def split(labelled: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Deterministic stratified split: adds `train` and `test` flags.
-
-    With fewer than two rows in a class, every row is used for both.
-    """
-    sizes = labelled.agg(
-        F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") == 0).alias("_neg")
-    ).withColumn("_k", F.lit(1))
-    cut = _hash_cut(labelled, share, seed).withColumn("_k", F.lit(1)).join(sizes, "_k")
-    few = (F.col("_pos") < 2) | (F.col("_neg") < 2)
-    return cut.select(
+    return ranked.select(
         *labelled.columns,
-        (few | ~F.col("test")).alias("train"),
-        (few | F.col("test")).alias("test"),
+        (F.col("_few") | ~F.col("_test")).alias("train"),
+        (F.col("_few") | F.col("_test")).alias("test"),
     )
 
 

@@ -207,7 +207,11 @@ def reconcile_all_banks(
 
 def null_id_rows(ours: DataFrame, bank: DataFrame) -> DataFrame:
     """One row: rows of each side left out of matching for want of an ID."""
-    count = lambda s, name: s.agg(F.count_if(F.col("id").isNull()).alias(name))
-    return count(ours, "our_null_id_rows").withColumn("_k", F.lit(1)).join(
-        count(bank, "bank_null_id_rows").withColumn("_k", F.lit(1)), "_k"
-    ).drop("_k")
+    both = ours.select("id", F.lit(True).alias("our")).unionByName(
+        bank.select("id", F.lit(False).alias("our"))
+    )
+    none = F.col("id").isNull()
+    return both.agg(
+        F.count_if(none & F.col("our")).alias("our_null_id_rows"),
+        F.count_if(none & ~F.col("our")).alias("bank_null_id_rows"),
+    )

@@ -102,19 +102,34 @@ def keyword_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
     distinct header are joined to the keyword texts, so neither table is scanned per
     row of the other and neither has to be small.
     """
-    words = keywords.select(
-        "keyword", "priority", "is_exact_match", clean_header(F.col("keyword")).alias("clean")
-    )
+    word = ["keyword", "priority", "is_exact_match"]
+    clean = clean_header(F.col("keyword")).alias("clean")
     texts = names.select("col").distinct().select(
         "col", lower_header(F.col("col")).alias("lower"), clean_header(F.col("col")).alias("bare")
     )
-    plain = texts.select("col", "lower", "bare", F.explode(_parts(F.col("lower"))).alias("keyword"))
-    bare = texts.select("col", "lower", "bare", F.explode(_parts(F.col("bare"))).alias("clean"))
-    both = ["col", "lower", "bare", "keyword", "clean", "priority", "is_exact_match"]
-    # A keyword found in both forms is one match, but equal keyword rows count separately.
-    in_plain = plain.join(words, "keyword").select(*both)
-    in_bare = bare.join(words, "clean").where(~F.col("lower").contains(F.col("keyword")))
-    found = in_plain.unionByName(in_bare.select(*both))
+    # Both readings of a header and of a keyword, as written and without separators,
+    # meet in one join; `plain` keeps the two apart.
+    forms = F.array(
+        F.struct(F.lit(True).alias("plain"), _parts(F.col("lower")).alias("parts")),
+        F.struct(F.lit(False).alias("plain"), _parts(F.col("bare")).alias("parts")),
+    )
+    parts = texts.select("col", "lower", "bare", F.inline(forms)).select(
+        "col", "lower", "bare", "plain", F.explode("parts").alias("part")
+    )
+    words = keywords.select(
+        *word,
+        clean,
+        F.inline(
+            F.array(
+                F.struct(F.lit(True).alias("plain"), F.col("keyword").alias("part")),
+                F.struct(F.lit(False).alias("plain"), clean_header(F.col("keyword")).alias("part")),
+            )
+        ),
+    )
+    # A keyword found in both forms is one match.
+    found = parts.join(words, ["plain", "part"]).where(
+        F.col("plain") | ~F.col("lower").contains(F.col("keyword"))
+    )
     exact = (F.col("clean") == F.col("bare")) | (F.col("keyword") == F.col("lower"))
     contained = F.col("lower").contains(F.col("keyword"))
     kind = (
@@ -151,9 +166,15 @@ def keyword_scores(names: DataFrame, keywords: DataFrame) -> DataFrame:
     )
 
 
-def amount_scores(profile: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Scores for the amount column: keywords in the header plus numeric content."""
-    named = keyword_matches(profile, keywords).groupBy("col").agg(
+def amount_scores(
+    profile: DataFrame, keywords: DataFrame, names: DataFrame | None = None
+) -> DataFrame:
+    """Scores for the amount column: keywords in the header plus numeric content.
+
+    `names` holds the headers in `col`; without it they are taken from the profile, which
+    is then computed twice.
+    """
+    named = keyword_matches(profile if names is None else names, keywords).groupBy("col").agg(
         (F.sum("tenths") / F.lit(10.0)).alias("named")
     )
     ratio = F.col("numeric_ratio")

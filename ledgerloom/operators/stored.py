@@ -68,9 +68,8 @@ def results_by_status(
     chosen = results.where(F.col("job_id") == job_id)
     if status:
         chosen = chosen.where(F.col("status") == status)
-    total = chosen.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    shown = chosen.select(*VIEW).orderBy("bank_trx_id").limit(n).withColumn("_k", F.lit(1))
-    return shown.join(total, "_k").drop("_k")
+    total = chosen.agg(F.count(F.lit(1))).scalar()
+    return chosen.select(*VIEW, total.alias("total")).orderBy("bank_trx_id").limit(n)
 
 
 def total_results(results: DataFrame) -> DataFrame:

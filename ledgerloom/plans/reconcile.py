@@ -115,6 +115,9 @@ def detect_roles(
         bank = _one_file(statement, "bank")
         bank_profile = column_profile(bank)
 
+    def header(df: DataFrame) -> DataFrame:
+        return spark.createDataFrame([(c,) for c in data_columns(df)], "col string")
+
     def best(role: str, rules: DataFrame, scorer: Scorer | None, long: DataFrame) -> None:
         top = rl.cascade(scorer(long), rules) if scorer else rl.best_columns(rules)
         wanted.append(top.select(F.lit(role).alias("role"), "col", "score"))
@@ -125,10 +128,12 @@ def detect_roles(
         best("bank_trx", rl.statement_id_scores(bank_profile), None, bank)
     if not our_amount:
         words = detection_keywords(keywords, "our", spark)
-        best("our_amount", rl.amount_scores(ours_profile, words), amount_scorer, ours)
+        scores = rl.amount_scores(ours_profile, words, header(ledger))
+        best("our_amount", scores, amount_scorer, ours)
     if not bank_amount:
         words = detection_keywords(keywords, "bank", spark)
-        best("bank_amount", rl.amount_scores(bank_profile, words), amount_scorer, bank)
+        scores = rl.amount_scores(bank_profile, words, header(statement))
+        best("bank_amount", scores, amount_scorer, bank)
 
     found = {}
     if wanted:

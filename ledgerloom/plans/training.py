@@ -36,11 +36,11 @@ def train(
 ) -> Trained:
     """Features, split, fit and evaluation for `kind` id or amount.
 
-    Fitting reads its input many times, so the split set, a row per column of each
-    labelled file, is checkpointed first and the files are scanned once.
+    Splitting and fitting read their input many times, so the labelled set, a row per
+    column of each labelled file, is checkpointed first and the files are scanned once.
     """
     checkpoint_dir(long.sparkSession)
-    labelled = learning.labelled_set(FEATURES[kind](long), labels)
-    data = learning.split(labelled).checkpoint()
+    labelled = learning.labelled_set(FEATURES[kind](long), labels).checkpoint()
+    data = learning.split(labelled)
     model = learning.fit(data, algorithm, iterations)
     return Trained(kind, model, learning.evaluate(learning.predictions(model, data)), data)

@@ -91,16 +91,21 @@ def safe_names(names: list[str | None]) -> list[str]:
     return out
 
 
-def row_order() -> Column:
-    """Order of CSV rows over several files: path, block, row within the task.
+def row_order(df: DataFrame) -> Column:
+    """Order of the rows of a CSV scan.
 
-    A running row number alone does not follow file order, since small files share
-    tasks and large files are scheduled first.
+    Within one file a running row number follows the file, and being a plain number it
+    keeps the aggregates by first and last row hash-based. Over several files it does
+    not, since small files share tasks and large ones are scheduled first; then the
+    order is path, block and row.
     """
+    seq = F.monotonically_increasing_id()
+    if len(df.inputFiles()) == 1:
+        return seq
     return F.struct(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
+        seq.alias("seq"),
     )
 
 
@@ -121,15 +126,15 @@ def read_csv(
         header = list(first) if first else []
     names = safe_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (
+    rows = (
         spark.read.options(header=True, encoding=encoding, enforceSchema=True, **options)
         .schema(schema)
         .csv(path)
-        .select(
-            *[F.col(quoted(n)) for n in names],
-            file_path().alias(FILE),
-            row_order().alias(ORDINAL),
-        )
+    )
+    return rows.select(
+        *[F.col(quoted(n)) for n in names],
+        file_path().alias(FILE),
+        row_order(rows).alias(ORDINAL),
     )
 
 
@@ -155,7 +160,13 @@ def read_directory(
         paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in group["paths"]]  # not globs
         wide = read_csv(spark, paths, group["encoding"], **options)
         names = [c for c in wide.columns if c not in (FILE, ORDINAL)]
-        part = to_long(wide, names, file=F.col(FILE), order=F.col(ORDINAL))
+        # Ordinals are compared within a file only, where the row number is enough.
+        order = F.col(ORDINAL)
+        if isinstance(wide.schema[ORDINAL].dataType, T.StructType):
+            order = F.struct(F.col(f"{ORDINAL}.block"), F.col(f"{ORDINAL}.seq"))
+        else:
+            order = F.struct(F.lit(0).cast("bigint").alias("block"), order.alias("seq"))
+        part = to_long(wide, names, file=F.col(FILE), order=order)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"no files match {glob} under {path}")
