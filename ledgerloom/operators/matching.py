@@ -168,7 +168,8 @@ def reconcile_ids(
     """Every distinct ID of either side with its status and both amounts.
 
     Both sides are aggregated by `id` first; the full outer join reuses that hash
-    partitioning, so each side is shuffled once and no key is hot any more.
+    partitioning, so each side is shuffled once and no key is hot any more. With
+    `with_records`, both sides must carry `record`.
     """
     o = _collapsed(ours, ["id"], "our", with_records)
     b = _collapsed(bank, ["id"], "bank", with_records)

@@ -180,7 +180,7 @@ def analyze(ledger: DataFrame, statement: DataFrame, **detection) -> dict[str, d
 
 
 def result_rows(
-    reconciled: DataFrame, job_id: int, bank_name: str, created_at: datetime, compared: bool
+    reconciled: DataFrame, bank_name: str, created_at: datetime, compared: bool, money: Money
 ) -> DataFrame:
     """Stored result rows of a reconciliation with records."""
     status = F.col("status")
@@ -193,14 +193,13 @@ def result_rows(
     kept = [F.col(c) if compared else F.lit(None).cast(rows.schema[c].dataType) for c in amounts]
     return rows.select(
         F.monotonically_increasing_id().alias("id"),
-        F.lit(job_id).alias("job_id"),
         F.col("id").alias("bank_trx_id"),
         display.alias("bank_trx_id_display"),
         "status",
         F.col("our_record").alias("our_record_data"),
         F.col("bank_record").alias("bank_record_data"),
         F.lit(bank_name).alias("paying_bank_name"),
-        legacy_amount(F.coalesce(legacy, F.lit(""))).alias("amount"),
+        legacy_amount(F.coalesce(legacy, F.lit("")), money).alias("amount"),
         *[c.alias(n) for c, n in zip(kept, amounts)],
         F.lit(created_at).alias("created_at"),
     )
@@ -210,15 +209,14 @@ def discrepancy_rows(results: DataFrame) -> DataFrame:
     """Stored discrepancies of stored results."""
     found = results.where(F.col("status") == m.MATCHED).where(cmp.is_discrepancy())
     return found.select(
-        "id", "job_id", "bank_trx_id", "our_amount", "bank_amount",
+        "id", "bank_trx_id", "our_amount", "bank_amount",
         cmp.difference().alias("difference"), cmp.percentage().alias("percentage_diff"),
         "created_at",
     )
 
 
 def job_rows(
-    results: DataFrame, roles: Roles, created_at: datetime, names: dict[str, str], job_id: int,
-    bank_name: str,
+    results: DataFrame, roles: Roles, created_at: datetime, names: dict[str, str], bank_name: str
 ) -> DataFrame:
     """Stored job row: one aggregation over the stored results."""
     one_side = lambda *s: F.when(F.col("status").isin(*s), 1)
@@ -232,7 +230,6 @@ def job_rows(
     )
     compared = roles.compare_amounts
     values = {
-        "job_id": F.lit(job_id),
         **{k: F.lit(v) for k, v in names.items()},
         "bank_name": F.lit(bank_name),
         "created_at": F.lit(created_at),
@@ -250,7 +247,7 @@ def job_rows(
         "bank_total_amount": F.col("bank_total"),
         "amounts_match": F.col("amounts_match") & F.lit(compared),
     }
-    return summary.select(*[values.get(c, F.col(c)).alias(c) for c in st.JOB_COLUMNS])
+    return summary.withColumns(values)
 
 
 def reconcile(
@@ -266,7 +263,6 @@ def reconcile(
     bank_column: str = BANK_COLUMN,
     job_id: int | None = None,
     created_at: datetime | None = None,
-    money: Money = DEFAULT_MONEY,
     **detection,
 ) -> Run:
     """Match, compare and store one pair of files.
@@ -275,6 +271,7 @@ def reconcile(
     the stored table instead of repeating the join.
     """
     roles = roles or detect_roles(ledger, statement, **detection)
+    money = store.money
     created_at = created_at or datetime.now(timezone.utc).replace(tzinfo=None)
     ours = m.side(
         ledger, roles.our_trx, roles.our_amount, ORDINAL, bank_col=bank_column,
@@ -293,16 +290,14 @@ def reconcile(
     job_id = store.next_job_id() if job_id is None else job_id
 
     reconciled = m.reconcile_ids(m.of_bank(ours, target_bank), bank, with_records=True)
-    store.write(
-        st.RESULTS,
-        result_rows(reconciled, job_id, target_bank, created_at, roles.compare_amounts),
-    )
+    rows = result_rows(reconciled, target_bank, created_at, roles.compare_amounts, money)
+    store.write(st.RESULTS, rows, job_id)
     results = store.results().where(F.col("job_id") == job_id)
-    store.write(st.DISCREPANCIES, discrepancy_rows(results))
+    store.write(st.DISCREPANCIES, discrepancy_rows(results), job_id)
     names = {
         "job_name": job_name, "our_file_name": our_file_name, "bank_file_name": bank_file_name,
     }
-    store.write(st.JOBS, job_rows(results, roles, created_at, names, job_id, target_bank))
+    store.write(st.JOBS, job_rows(results, roles, created_at, names, target_bank), job_id)
     job = store.jobs().where(F.col("job_id") == job_id)
     discrepancies = _discrepancies(store, job_id)
     return Run(
@@ -396,4 +391,5 @@ def export_job(
         )
         for c in ("our_record_data", "bank_record_data")
     ]
-    return st.export_sides(*with_status(*sides, roles, row["bank_name"], **options), path, fmt)
+    sides = with_status(*sides, roles, row["bank_name"], money=store.money, **options)
+    return st.export_sides(*sides, path, fmt)

@@ -1,7 +1,7 @@
-"""Stored jobs, results and discrepancies: parquet tables partitioned by job.
+"""Stored jobs, results and discrepancies: parquet tables with one directory per job.
 
-Writing a job replaces its own partition only, so a job repeated after a failure leaves
-no duplicates.
+Writing a job replaces its own directory, so a job repeated after a failure leaves
+neither duplicates nor stale rows.
 """
 
 from __future__ import annotations
@@ -11,27 +11,33 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.functions.money import DEFAULT_MONEY, Money
 
 JOBS, RESULTS, DISCREPANCIES = "jobs", "results", "discrepancies"
 
-JOB_COLUMNS = [
-    "job_id", "job_name", "our_file_name", "bank_file_name", "bank_name", "created_at", "status",
-    "total_our_records", "total_bank_records", "matched_records", "unmatched_our_records",
-    "unmatched_bank_records", "our_trx_column", "bank_trx_column", "our_amount_column",
-    "bank_amount_column", "our_amount_confidence", "bank_amount_confidence",
-    "amount_comparison_performed", "our_total_amount", "bank_total_amount", "matched_total_our",
-    "matched_total_bank", "total_difference_all", "total_difference_matched", "amounts_match",
-    "total_discrepancies",
-]
-RESULT_COLUMNS = [
-    "id", "job_id", "bank_trx_id", "bank_trx_id_display", "status", "our_record_data",
-    "bank_record_data", "paying_bank_name", "amount", "our_amount", "bank_amount",
-    "amount_difference", "amount_match", "created_at",
-]
-DISCREPANCY_COLUMNS = [
-    "id", "job_id", "bank_trx_id", "our_amount", "bank_amount", "difference", "percentage_diff",
-    "created_at",
-]
+# Columns and types; MONEY stands for the decimal type of amounts, SUM for its totals.
+SCHEMAS = {
+    JOBS: """
+        job_name string, our_file_name string, bank_file_name string, bank_name string,
+        created_at timestamp_ntz, status string, total_our_records bigint,
+        total_bank_records bigint, matched_records bigint, unmatched_our_records bigint,
+        unmatched_bank_records bigint, our_trx_column string, bank_trx_column string,
+        our_amount_column string, bank_amount_column string, our_amount_confidence double,
+        bank_amount_confidence double, amount_comparison_performed boolean,
+        our_total_amount SUM, bank_total_amount SUM, matched_total_our SUM,
+        matched_total_bank SUM, total_difference_all SUM, total_difference_matched SUM,
+        amounts_match boolean, total_discrepancies bigint""",
+    RESULTS: """
+        id bigint, bank_trx_id string, bank_trx_id_display string, status string,
+        our_record_data string, bank_record_data string, paying_bank_name string, amount MONEY,
+        our_amount MONEY, bank_amount MONEY, amount_difference MONEY, amount_match boolean,
+        created_at timestamp_ntz""",
+    DISCREPANCIES: """
+        id bigint, bank_trx_id string, our_amount MONEY, bank_amount MONEY, difference MONEY,
+        percentage_diff double, created_at timestamp_ntz""",
+}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -55,15 +61,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 class Store:
     """The three stored tables under one path."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, money: Money = DEFAULT_MONEY):
         self.spark = spark
         self.path = path
+        self.money = money
 
     def _table(self, name: str) -> str:
         return os.path.join(self.path, name)
 
+    def schema(self, name: str) -> T.StructType:
+        total = f"decimal(38,{self.money.scale})"
+        ddl = SCHEMAS[name].replace("MONEY", self.money.sql_type).replace("SUM", total)
+        return T.StructType.fromDDL(ddl)
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._table(name))
+        schema = T.StructType([*self.schema(name), T.StructField("job_id", T.IntegerType())])
+        return self.spark.read.schema(schema).parquet(self._table(name))
 
     def jobs(self) -> DataFrame:
         return self.read(JOBS)
@@ -74,13 +87,11 @@ class Store:
     def discrepancies(self) -> DataFrame:
         return self.read(DISCREPANCIES)
 
-    def write(self, name: str, df: DataFrame) -> None:
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("job_id")
-            .parquet(self._table(name))
-        )
+    def write(self, name: str, df: DataFrame, job_id: int) -> None:
+        """Replace the rows of one job; columns are cast to the stored types."""
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema(name)]
+        target = os.path.join(self._table(name), f"job_id={job_id}")
+        df.select(*columns).write.mode("overwrite").parquet(target)
 
     def next_job_id(self) -> int:
         """One more than the highest stored job; partition names are enough to tell."""
