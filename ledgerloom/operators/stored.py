@@ -154,9 +154,14 @@ def statistics_table(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.inline(rows))
 
 
-def report_lines(jobs: DataFrame, results: DataFrame, discrepancies: DataFrame) -> DataFrame:
+def report_lines(
+    jobs: DataFrame, results: DataFrame, discrepancies: DataFrame, *, live: bool = False
+) -> DataFrame:
     """The text report of every job as numbered lines.
 
+    A `live` report, made right after the run, names the confidences that kept amounts
+    from being compared; a later one only says that they were not.
+
     The report shows a bounded number of items per section, so numbering the lines of a
     job in one window is bounded too.
     """
@@ -192,9 +197,16 @@ def report_lines(jobs: DataFrame, results: DataFrame, discrepancies: DataFrame)
         F.lit(""),
     ]
     not_detected = lambda c: F.coalesce(F.col(c), F.lit("Not detected"))
+    reason = F.lit("- Reason: Amount comparison was not performed during reconciliation")
+    if live:
+        reason = say(
+            "- Reason: Low confidence in amount column detection "
+            "(our: %.1f%%, bank: %.1f%%, threshold: 30%%)",
+            F.col("our_amount_confidence"), F.col("bank_amount_confidence"),
+        )
     skipped = [
         F.lit("- Amount comparison: ⚠️ Not performed"),
-        F.lit("- Reason: Amount comparison was not performed during reconciliation"),
+        reason,
         say("- Our amount column: '%s'", not_detected("our_amount_column")),
         say("- Bank amount column: '%s'", not_detected("bank_amount_column")),
         F.lit(""),

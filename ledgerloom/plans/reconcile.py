@@ -281,7 +281,8 @@ def reconcile(
         statement, roles.bank_trx, roles.bank_amount, ORDINAL,
         record_cols=data_columns(statement), money=money,
     )
-    matches = m.attribution_counts(m.attribute(ours, bank))
+    st.checkpoint_dir(store.spark)
+    matches = m.attribution_counts(m.attribute(ours, bank)).checkpoint()  # a row per bank
     if target_bank is None:
         top = matches.orderBy(F.desc("n_ids"), "bank").first()
         if top is None:
@@ -302,7 +303,7 @@ def reconcile(
     discrepancies = _discrepancies(store, job_id)
     return Run(
         job_id, target_bank, roles, job, results, discrepancies, matches,
-        stored.report_lines(job, results, discrepancies),
+        stored.report_lines(job, results, discrepancies, live=True),
     )
 
 

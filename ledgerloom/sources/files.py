@@ -64,13 +64,14 @@ def encodings(
 def header_lines(spark: SparkSession, path: str | list[str], glob: str | None = FILE_GLOB) -> DataFrame:
     """First line of every file found under a path.
 
-    The smallest row number of each file's first block is found by a narrow aggregate
-    and joined back, so lines are neither sorted nor shuffled.
+    The smallest row number of each file's first block is found by a narrow hash
+    aggregate and looked up again, so lines are neither sorted nor shuffled.
     """
     lines = scan_text(spark, path, glob).where(F.col("block") == 0)
-    first = lines.groupBy("path").agg(F.min("seq").alias("seq"))
-    return lines.join(first, ["path", "seq"]).select(
-        "path", F.regexp_replace("value", "^﻿", "").alias("header")
+    first = lines.groupBy("path").agg(F.min("seq").alias("seq")).select("seq")
+    # One number per file: far less than the file listing the driver already holds.
+    return lines.join(F.broadcast(first), "seq").select(
+        "path", F.regexp_replace("value", "^\ufeff", "").alias("header")
     )
 
 

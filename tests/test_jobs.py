@@ -144,6 +144,9 @@ def test_comparison_is_skipped_without_confidence(spark, tmp_path):
     assert run.discrepancies.count() == 0
     assert run.results.where("our_amount is not null").count() == 0
     assert any("Not performed" in r.text for r in run.report.collect())
+    assert any("bank: 30.0%, threshold" in r.text for r in run.report.collect())
+    later = [r.text for r in rc.job_report(store, run.job_id).collect()]
+    assert any("was not performed during" in text for text in later)
 
 
 def test_analyze(spark, tmp_path):
