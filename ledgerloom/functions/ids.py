@@ -25,9 +25,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def is_null_text(t: Column) -> Column:
+    """True for null and the null tokens, given text already stripped."""
+    # The byte length spares lower-casing ordinary values.
+    return t.isNull() | ((F.octet_length(t) <= 4) & F.lower(t).isin(*NULL_TOKENS))
+
+
 def is_null_token(c: Column) -> Column:
     """True for null, blank, nan, none and null in any case."""
-    return c.isNull() | F.lower(strip(c)).isin(*NULL_TOKENS)
+    return is_null_text(strip(c))
 
 
 def is_scientific_id(c: Column) -> Column:
@@ -44,14 +50,18 @@ def _whole_length(c: Column) -> Column:
     return F.substring_index(F.lower(c), "e+", -1).try_cast("int") + F.lit(1)
 
 
-def expand_id(c: Column) -> Column:
-    """Write a scientific ID out in full digits; other IDs are only trimmed."""
-    t = strip(c)
+def expand_text(t: Column) -> Column:
+    """Write a scientific ID out in full digits, given text already stripped."""
     digits = _mantissa(t)
     width = F.greatest(F.length(digits), _whole_length(t))
     return F.when(is_scientific_id(t), F.rpad(digits, width, F.lit("0"))).otherwise(t)
 
 
+def expand_id(c: Column) -> Column:
+    """Write a scientific ID out in full digits; other IDs are only trimmed."""
+    return expand_text(strip(c))
+
+
 def precision_lost(c: Column) -> Column:
     """True when expansion had to invent zeros, so distinct IDs may have collided."""
     t = strip(c)
@@ -60,9 +70,14 @@ def precision_lost(c: Column) -> Column:
     )
 
 
+def normal_text(t: Column) -> Column:
+    """The matching key of text already stripped."""
+    return F.when(~is_null_text(t), expand_text(t))
+
+
 def normal_id(c: Column) -> Column:
     """The matching key: expanded ID, or null for a null token."""
-    return F.when(~is_null_token(c), expand_id(c))
+    return normal_text(strip(c))
 
 
 def display_id(original: Column, fixed: Column) -> Column:

@@ -11,6 +11,7 @@ from .ids import strip
 
 # Formatting characters dropped from an amount, and the plain-number grammar.
 FORMAT_CHARS = ",$€£"
+_MAYBE_NUMBER = r"(?U)^[-+0-9.eE,$€£\s]+$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -36,7 +37,9 @@ def _without_format(c: Column, chars: str = FORMAT_CHARS) -> Column:
 def parse_number(c: Column, chars: str = FORMAT_CHARS) -> Column:
     """Double value of a number in text, or null; nan, inf and `1d` are not numbers."""
     t = _without_format(c, chars)
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    cleaned = F.when(t.rlike(NUMBER), t.try_cast("double"))
+    # Plain numbers and plain text are settled by one match each; the rest is cleaned first.
+    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike(_MAYBE_NUMBER), cleaned)
 
 
 def is_number(c: Column, chars: str = FORMAT_CHARS) -> Column:
@@ -46,12 +49,11 @@ def is_number(c: Column, chars: str = FORMAT_CHARS) -> Column:
 def parse_amount(c: Column, money: Money = DEFAULT_MONEY) -> Column:
     """Amount with separators and currency signs dropped; unparseable text is null.
 
-    A decimal cast accepts exactly the plain-number grammar, so no regex guard is
-    needed here. Scientific notation is taken as is, without dropping characters.
+    A decimal cast accepts exactly the plain-number grammar, so plain numbers, also in
+    scientific notation, need nothing else; only what the cast refuses is cleaned.
     """
-    t = strip(c)
-    text = F.when(F.lower(t).contains("e"), t).otherwise(_without_format(c))
-    return text.try_cast(money.sql_type)
+    cleaned = F.when(~F.lower(c).contains("e"), _without_format(c))
+    return F.coalesce(c.try_cast(money.sql_type), cleaned.try_cast(money.sql_type))
 
 
 def amount_or_zero(c: Column, money: Money = DEFAULT_MONEY) -> Column:

@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import (
     display_id,
-    is_null_token,
-    normal_id,
     parse_amount,
     record_json,
     strict_amount,
     strip,
 )
+from ledgerloom.functions.ids import is_null_text, normal_text
 from ledgerloom.functions.money import DEFAULT_MONEY, Money
 from ledgerloom.functions.records import quoted
 
@@ -50,11 +49,9 @@ def side(
 
     `record_cols` adds a JSON snapshot of those columns, `row_cols` a struct of them.
     """
-    raw = F.col(quoted(id_col)).cast("string")
     parse = strict_amount if strict else parse_amount
     columns = [
-        normal_id(raw).alias("id"),
-        strip(raw).alias("original"),
+        strip(F.col(quoted(id_col)).cast("string")).alias("original"),
         (
             parse(F.col(quoted(amount_col)).cast("string"), money)
             if amount_col
@@ -68,7 +65,8 @@ def side(
         columns.append(record_json(record_cols).alias("record"))
     if row_cols:
         columns.append(F.struct(*[F.col(quoted(c)) for c in row_cols]).alias("row"))
-    return df.select(*columns)
+    # The stripped text is a step of its own, so it is computed once per row.
+    return df.select(*columns).select(normal_text(F.col("original")).alias("id"), "*")
 
 
 def with_ids(s: DataFrame) -> DataFrame:
@@ -77,7 +75,7 @@ def with_ids(s: DataFrame) -> DataFrame:
     The test reads the source text and the key is made non-null, so the optimizer does
     not push a second evaluation of the whole ID expression down to the scan.
     """
-    kept = s.where(~is_null_token(F.col("original")))
+    kept = s.where(~is_null_text(F.col("original")))
     return kept.withColumn("id", F.coalesce("id", F.lit("")))
 
 

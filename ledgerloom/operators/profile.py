@@ -67,12 +67,14 @@ def first_cells(long: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
 def _measures(distinct: Column) -> list[Column]:
     v = F.col("val")
     number = F.col("number")
-    filled = ~F.lower(v).isin(*NULL_TOKENS) & (F.length(strip(v)) > 0)
+    # A token with blanks around it counts as filled; a blank cell does not.
+    token = (F.octet_length(v) <= 4) & F.lower(v).isin(*NULL_TOKENS)
+    filled = (F.col("length") > 0) & ~token
     return [
         F.count("val").alias("non_null"),
         F.count_if(filled).alias("non_empty"),
         distinct.alias("n_distinct"),
-        F.coalesce(F.sum(F.length(strip(v))), F.lit(0)).alias("length_sum"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("length_sum"),
         F.count(number).alias("n_numeric"),
         F.count_if(number > 0).alias("n_positive"),
         F.avg(number).alias("mean_value"),
@@ -88,7 +90,8 @@ def column_profile(
     value, so a large column is not one task's work; `approximate_distinct` avoids even that.
     """
     cells = first_cells(long, sample) if sample else long
-    cells = cells.withColumn("number", parse_number(F.col("val")))
+    v = F.col("val")
+    cells = cells.withColumns({"number": parse_number(v), "length": F.length(strip(v))})
     distinct = (
         F.approx_count_distinct("val") if approximate_distinct else F.count_distinct("val")
     )
