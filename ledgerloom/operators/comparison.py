@@ -16,7 +16,7 @@ from ledgerloom.operators.matching import (
     MISSING_IN_OURS,
     last_amounts,
 )
-from ledgerloom.operators.skew import SALT_BUCKETS, heavy_keys, salted_left_join
+from ledgerloom.operators.skew import heavy_keys, spread_left_join
 
 TOLERANCE = "0.01"
 CONFIDENCE_NEEDED = 30
@@ -125,13 +125,11 @@ def with_legacy_amount(
     return df.withColumn(name, legacy_amount(text, money))
 
 
-def _with_status(
-    rows: DataFrame, other: DataFrame, order: Column, hot: DataFrame, buckets: int
-) -> DataFrame:
+def _with_status(rows: DataFrame, other: DataFrame, order: Column, hot: DataFrame) -> DataFrame:
     lookup = last_amounts(other).select(
         "id", F.col("amount").alias("other_amount"), F.lit(True).alias("_found")
     )
-    joined = salted_left_join(rows, lookup, "id", order, hot, buckets)
+    joined = spread_left_join(rows, lookup, "id", order, hot)
     status = (
         F.when(F.col("_found").isNull(), "false")
         .when(F.abs(F.col("amount") - F.col("other_amount")) > _cent(), "amt_diff")
@@ -140,9 +138,7 @@ def _with_status(
     return joined.withColumn("status", status).drop("_found")
 
 
-def row_status(
-    rows: DataFrame, other: DataFrame, *, buckets: int = SALT_BUCKETS, **heavy
-) -> DataFrame:
+def row_status(rows: DataFrame, other: DataFrame, **heavy) -> DataFrame:
     """Status of every row of one side, duplicates kept.
 
     true      the ID is on the other side and the amounts agree or cannot be compared
@@ -150,14 +146,12 @@ def row_status(
     false     the ID is not there
 
     The other side is reduced to the last amount per ID, so each row finds at most one
-    partner; heavy and null IDs among the rows are salted.
+    partner; heavy and null IDs among the rows are spread.
     """
-    return _with_status(rows, other, F.col("ordinal"), heavy_keys(rows, "id", **heavy), buckets)
+    return _with_status(rows, other, F.col("ordinal"), heavy_keys(rows, "id", **heavy))
 
 
-def status_counts(
-    ours: DataFrame, bank: DataFrame, *, buckets: int = SALT_BUCKETS, **heavy
-) -> DataFrame:
+def status_counts(ours: DataFrame, bank: DataFrame, **heavy) -> DataFrame:
     """Rows per status on each side.
 
     A row's status depends only on its ID and amount, so equal rows are counted before
@@ -167,7 +161,7 @@ def status_counts(
     def count(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
         grouped = rows.groupBy("id", "amount").agg(F.count(F.lit(1)).alias("n"))
         hot = heavy_keys(rows, "id", **heavy)
-        found = _with_status(grouped, other, F.col("amount"), hot, buckets)
+        found = _with_status(grouped, other, F.col("amount"), hot)
         return found.groupBy("status").agg(F.sum("n").alias("n")).select(
             F.lit(name).alias("side"), "status", "n"
         )

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALT_BUCKETS = 64
+SPREAD = 1 << 16
 
 
 def heavy_keys(
@@ -26,31 +27,35 @@ def heavy_keys(
     )
 
 
-def salted_left_join(
+def spread_left_join(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
     order: Column,
     hot: DataFrame,
-    buckets: int = SALT_BUCKETS,
+    buckets: int = SPREAD,
 ) -> DataFrame:
     """Left join of raw rows to a lookup that is unique on `key`.
 
-    `hot` comes from `heavy_keys`. Rows of heavy and null keys are spread over `buckets`
-    salts taken from their order, so a retried task gives the same answer; the lookup
-    rows of the heavy keys are repeated once per salt.
+    `hot` comes from `heavy_keys`. The partners of the heavy keys are looked up first and
+    broadcast, at most 1/share rows. Rows with a heavy or null key then travel under a
+    made-up key, spread by a hash of their order so that a retried task repeats itself,
+    and ignore whatever they meet; all others find their partner by the shuffle. The
+    lookup is neither repeated nor shuffled again if it is already partitioned by key.
     """
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))  # at most 1/share keys
-    spread = F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int")
-    left = rows.join(hot, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.lit(0)),
+    names = [c for c in lookup.columns if c != key]
+    partner = F.struct(*names)
+    known = hot.join(lookup, key, "left").select(
+        key, F.lit(True).alias("_hot"), partner.alias("_known")
     )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = lookup.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.drop("_hot").join(right, [key, "_salt"], "left").drop("_salt")
+    marked = rows.join(F.broadcast(known), key, "left")
+    aside = F.col("_hot").isNotNull() | F.col(key).isNull()
+    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(order), F.lit(buckets)).cast("string"))
+    marked = marked.withColumn("_key", F.when(aside, spread).otherwise(F.col(key)))
+    others = lookup.select(F.col(key).alias("_key"), partner.alias("_met"))
+    joined = marked.join(others, "_key", "left")
+    found = F.when(F.col("_hot"), F.col("_known")).when(~aside, F.col("_met"))
+    return joined.select(*rows.columns, *[found[c].alias(c) for c in names])
 
 
 def first_per_group(

@@ -185,19 +185,19 @@ def hot_sides(spark, n=4000):
     return o, b
 
 
-def test_heavy_keys_are_found_and_salting_changes_nothing(spark):
+def test_heavy_keys_are_found_and_spreading_changes_nothing(spark):
     o, b = hot_sides(spark)
     assert [r.id for r in heavy_keys(o, "id", min_rows=100).collect()] == ["HOT"]
-    assert heavy_keys(o, "id").count() == 0  # few rows are never worth salting
+    assert heavy_keys(o, "id").count() == 0  # few rows are never worth spreading
     plain = cmp.row_status(o, b)
-    salted = cmp.row_status(o, b, min_rows=100, buckets=8)
-    assert plain.exceptAll(salted).count() == salted.exceptAll(plain).count() == 0
-    assert salted.count() == o.count()
+    spread = cmp.row_status(o, b, min_rows=100)
+    assert plain.exceptAll(spread).count() == spread.exceptAll(plain).count() == 0
+    assert spread.count() == o.count()
     counted = lambda df: sorted(map(tuple, df.collect()))
     assert counted(cmp.status_counts(o, b)) == counted(cmp.status_counts(o, b, min_rows=100))
 
 
-def test_salting_spreads_the_hot_and_null_rows(spark):
+def test_join_spreads_the_hot_and_null_rows(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
