@@ -526,7 +526,8 @@ FROM headers h LEFT JOIN shares s ON s.file = h.file AND s.position = h.position
     "keyword_rejects": _FIELDS + "SELECT value FROM parsed WHERE priority IS NULL",
     "keyword_export": f"""SELECT keyword || ',' || file_type || ',' || language || ',' || priority
   || ',' || CASE WHEN is_exact_match THEN 'True' ELSE 'False' END || ',' || description AS value
-FROM ({PART_KEYWORDS.replace('{part}', 'part')}) ORDER BY priority DESC, keyword""",
+FROM ({PART_KEYWORDS.replace('{part}', 'part')}) WHERE is_active
+ORDER BY priority DESC, keyword""",
     "label_check": _FILES + f""",
 labelled AS (SELECT DISTINCT file, {_label(*ID_LABELS)} AS label FROM columns)
 SELECT count(*) AS labelled_files, count(*) FILTER (label <> '') AS valid_labels,

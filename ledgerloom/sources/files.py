@@ -119,8 +119,9 @@ def read_csv(
 ) -> DataFrame:
     """Text columns of CSV files that share one header, plus `file` and `ordinal`.
 
-    Nothing is inferred, so `5.45E+17` and leading zeros survive. Names come from
-    `header` or from the first file's header line.
+    Nothing is inferred, so `5.45E+17` and leading zeros survive; blank cells are null.
+    Names come from `header` or from the first file's header line. Further options, such
+    as `multiLine` for quoted line breaks, go to the reader.
     """
     if header is None:
         first = spark.read.options(header=False, encoding=encoding, **options).csv(path).first()

@@ -47,13 +47,14 @@ def read_keywords(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def keyword_lines(table: DataFrame) -> DataFrame:
-    """Export lines of a keyword table, highest priority first."""
+    """Export lines of the active keywords, highest priority first."""
     exact = F.initcap(F.col("is_exact_match").cast("string"))
     line = F.concat_ws(
         ",", "keyword", "file_type", "language", F.col("priority").cast("string"), exact,
         F.coalesce("description", F.lit("")),
     )
-    return table.orderBy(F.desc("priority"), "keyword").select(line.alias("value"))
+    ordered = table.where("is_active").orderBy(F.desc("priority"), "keyword")
+    return ordered.select(line.alias("value"))
 
 
 def write_keywords(table: DataFrame, path: str) -> None:
