@@ -11,7 +11,7 @@ from ledgerloom.operators import comparison as cmp
 from ledgerloom.operators import matching as m
 
 from . import tables
-from .oracle import AMOUNT, null_token, over_sides, parse_amount
+from .oracle import AMOUNT, over_sides, parse_amount
 from .tables import LEDGER, duck
 
 MONEY = Money(18, 2)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom import functions as fn
 from ledgerloom.operators import comparison as cmp
-from ledgerloom.operators import features as ft
 from ledgerloom.operators import learning
 from ledgerloom.operators import matching as m
 from ledgerloom.operators import profile as pf

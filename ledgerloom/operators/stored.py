@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import number_text, percent_text, timestamp_text
-from ledgerloom.operators.matching import MATCHED, MISSING_IN_BANK, MISSING_IN_OURS, STATUSES
+from ledgerloom.operators.matching import MISSING_IN_BANK, MISSING_IN_OURS, STATUSES
 from ledgerloom.operators.skew import first_per_group
 
 VIEW = ["job_id", "bank_trx_id", "status", "paying_bank_name", "amount", "created_at"]
@@ -165,8 +166,6 @@ def report_lines(
     The report shows a bounded number of items per section, so numbering the lines of a
     job in one window is bounded too.
     """
-    from pyspark.sql import Window as W
-
     money = lambda c: number_text(F.col(c))
     say = lambda text, *cols: F.format_string(text, *cols)
     head = [
@@ -260,9 +259,3 @@ def report_lines(
         "job_id", F.row_number().over(by_job).alias("line_no"), "text"
     )
 
-
-__all__ = [
-    "MATCHED", "detail_sections", "job_table", "job_with_results", "jobs_newest_first",
-    "recent_jobs", "report_lines", "report_sections", "result_slice", "results_by_status",
-    "show_results", "statistics_table", "total_results",
-]
