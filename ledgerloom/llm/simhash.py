@@ -376,7 +376,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = near_duplicates(docs)
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = c.cut(kept.withColumnRenamed("doc_id", "__kept"))
+    kept = c.cut(kept.withColumnRenamed("doc_id", "__kept")).hint("merge")
     once = docs.join(kept.where("n = 1").select("__kept"), F.col("doc_id") == F.col("__kept"),
                      "left_semi")
     repeated = kept.where("n > 1")
