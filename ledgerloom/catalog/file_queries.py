@@ -155,10 +155,19 @@ QUERIES = {
 }
 
 
+# Texts that the reader takes for missing cells, spelled out again for the check.
+_NA = """'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN',
+  '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"""
+
+
+def _present(value: str) -> str:
+    return f"CASE WHEN {value} NOT IN ({_NA}) THEN {value} END"
+
+
 def _cells(name: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"SELECT {i} AS position, {len(columns)} AS n_cols, '{c}' AS col,"
-        f" nullif(CAST({c} AS VARCHAR), '') AS val FROM {name}"
+        f" {_present(f'CAST({c} AS VARCHAR)')} AS val FROM {name}"
         for i, c in enumerate(columns)
     )
 
@@ -183,8 +192,9 @@ cells AS ({_cells('ledger', _OURS)} UNION ALL {_cells('statement', _BANK)})
 SELECT position, n_cols, col, count(*) AS n_cells, count(val) AS n_values,
   count(DISTINCT val) AS n_distinct, CAST(sum(length(val)) AS BIGINT) AS n_chars
 FROM cells GROUP BY position, n_cols, col""",
-    "csv_ledger": f"""SELECT CAST(row_id AS VARCHAR) AS row_id, bank_trx_id, paying_bank_name,
-  nullif(paid_amt, '') AS paid_amt FROM ({duck(LEDGER)})""",
+    "csv_ledger": f"""SELECT CAST(row_id AS VARCHAR) AS row_id,
+  {_present('bank_trx_id')} AS bank_trx_id, {_present('paying_bank_name')} AS paying_bank_name,
+  {_present('paid_amt')} AS paid_amt FROM ({duck(LEDGER)})""",
     "file_encodings": """SELECT 'UTF-8' AS encoding, count(*) AS n_lines,
   CAST(0 AS BIGINT) AS n_invalid FROM orders
 UNION ALL SELECT 'ISO-8859-1', count(*), count(*) FROM orders""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import functions as fn
 from ledgerloom.operators import comparison as cmp
+from ledgerloom.operators import keywords as kw
 from ledgerloom.operators import learning
 from ledgerloom.operators import matching as m
 from ledgerloom.operators import profile as pf
@@ -276,7 +277,8 @@ def learned_roles(spark, sf):
     """Learned amount column per file, rules where the detector is unsure."""
     long = training_files(spark, sf)
     trained = training.train(long, labels(long, *AMOUNT_LABELS), "amount")
-    rules = rl.statement_id_scores(pf.column_profile(long))
+    words = kw.detection_keywords(kw.seed_keywords(spark), "bank", spark)
+    rules = rl.amount_scores(pf.column_profile(long), words, pf.headers(long))
     return rl.cascade(trained.scores(long), rules).select("file", "position", "col", "source")
 
 

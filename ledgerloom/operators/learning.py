@@ -87,7 +87,7 @@ def fit(split_set: DataFrame, algorithm: str = "logistic", iterations: int = 100
     if algorithm == "logistic":
         learner = LogisticRegression(weightCol="weight", maxIter=iterations, regParam=1e-4)
     elif algorithm == "gbt":
-        learner = GBTClassifier(weightCol="weight", maxIter=min(iterations, 50), seed=SEED)
+        learner = GBTClassifier(weightCol="weight", maxIter=iterations, seed=SEED)
     else:
         raise ValueError(f"unknown algorithm: {algorithm}")
     return Pipeline(stages=[assemble, scale, learner]).fit(weighted)

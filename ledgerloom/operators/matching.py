@@ -141,8 +141,12 @@ def attribution_counts(attributed: DataFrame) -> DataFrame:
 
 
 def target_bank(attributed: DataFrame) -> DataFrame:
-    """One row: the bank with most attributed IDs; ties go to the first name."""
-    return attribution_counts(attributed).orderBy(F.desc("n_ids"), "bank").limit(1)
+    """One row: the bank with most attributed IDs; ties go to the first name.
+
+    Blank banks are counted by attribution_counts but never chosen; no row if all are blank.
+    """
+    named = attribution_counts(attributed).where(F.col("bank").isNotNull())
+    return named.orderBy(F.desc("n_ids"), "bank").limit(1)
 
 
 def of_bank(ledger: DataFrame, bank: str | DataFrame) -> DataFrame:
@@ -196,12 +200,18 @@ def reconcile_all_banks(
     """Reconcile every bank of the ledger at once, keyed by (bank, id).
 
     A statement ID belongs to the bank of its first ledger row; statement IDs unknown
-    to the ledger come out with a null bank.
+    to the ledger come out with a null bank. So do ledger rows with a blank bank, which are
+    matched among themselves: with a null bank, only `missing_in_our_file` means unknown.
     """
     o = _collapsed(ledger, ["bank", "id"], "our", with_records)
     b = _collapsed(statement, ["id"], "bank", with_records)
     b = b.join(first_banks(ledger), "id", "left")
-    return o.join(b, ["bank", "id"], "full_outer").withColumn("status", _status())
+    b = b.withColumnsRenamed({"bank": "_bank", "id": "_id"})
+    same = (F.col("id") == F.col("_id")) & F.col("bank").eqNullSafe(F.col("_bank"))
+    both = o.join(b, same, "full_outer").withColumn("status", _status())
+    return both.withColumn(
+        "bank", F.when(F.col("id").isNull(), F.col("_bank")).otherwise(F.col("bank"))
+    ).withColumn("id", F.coalesce("id", "_id")).drop("_bank", "_id")
 
 
 def null_id_rows(ours: DataFrame, bank: DataFrame) -> DataFrame:

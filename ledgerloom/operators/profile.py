@@ -134,8 +134,8 @@ def amount_candidates(long: DataFrame) -> DataFrame:
     return stats.where(F.col("n_numeric") >= F.col("n_values") * 0.7)
 
 
-def header_listing(long: DataFrame, files: int | None = 20) -> DataFrame:
-    """Columns of the first `files` files by name, for labelling; all files when None."""
+def header_listing(long: DataFrame, files: int | None = None) -> DataFrame:
+    """Columns of every file, for labelling, or of the first `files` files by name."""
     listing = headers(long).select(*COLUMN)
     if files is None:
         return listing

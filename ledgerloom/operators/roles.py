@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import clean_header, lower_header
-from ledgerloom.operators.keywords import MAX_KEYWORD
 from ledgerloom.operators.profile import COLUMN
 
 # Known headers of the ID column in our files.
@@ -78,7 +77,7 @@ def statement_id_scores(profile: DataFrame) -> DataFrame:
 
 
 def _parts(c: Column) -> Column:
-    """Every distinct substring of a header, up to the longest keyword allowed."""
+    """Every distinct substring of a header."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
     return F.array_distinct(
         F.flatten(
@@ -87,7 +86,7 @@ def _parts(c: Column) -> Column:
                 lambda i: F.transform(
                     F.sequence(
                         F.lit(1),
-                        F.greatest(F.least(F.lit(MAX_KEYWORD), F.length(c) - i + 1), F.lit(1)),
+                        F.greatest(F.length(c) - i + 1, F.lit(1)),
                     ),
                     lambda n: F.substring(c, i, n),
                 ),

@@ -282,9 +282,11 @@ def reconcile(
         record_cols=data_columns(statement), money=money,
     )
     st.checkpoint_dir(store.spark)
-    matches = m.attribution_counts(m.attribute(ours, bank)).checkpoint()  # a row per bank
+    matches = m.attribution_counts(m.attribute(ours, bank))
     if target_bank is None:
-        top = matches.orderBy(F.desc("n_ids"), "bank").first()
+        matches = matches.checkpoint()  # a row per bank
+        named = matches.where(F.col("bank").isNotNull())
+        top = named.orderBy(F.desc("n_ids"), "bank").first()
         if top is None:
             raise NoMatchingIds("No matching transaction IDs found between the files")
         target_bank = top["bank"]
@@ -312,12 +314,14 @@ def _discrepancies(store: st.Store, job_id: int) -> DataFrame:
 
 
 def reconcile_files(
-    spark: SparkSession, our_path: str, bank_path: str, store: st.Store, *, job_name: str, **options
+    spark: SparkSession, our_path: str, bank_path: str, store: st.Store, *, job_name: str,
+    reader: dict | None = None, **options
 ) -> Run:
-    """Load two CSV files and reconcile them."""
+    """Load two sides (CSV or parquet: a file, a directory or a glob) and reconcile them."""
     base = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
     return reconcile(
-        load_file(spark, our_path), load_file(spark, bank_path), store, job_name=job_name,
+        load_file(spark, our_path, **(reader or {})), load_file(spark, bank_path, **(reader or {})),
+        store, job_name=job_name,
         our_file_name=base(our_path), bank_file_name=base(bank_path), **options,
     )
 

@@ -27,6 +27,15 @@ AMOUNT_WORDS = [
     "paid", "received", "payment", "fee", "charge", "cost", "price",
 ]
 
+# Standard quoting of CSV: a quote inside quotes is doubled.
+QUOTING = {"quote": '"', "escape": '"'}
+
+# Texts that stand for a missing cell.
+NA_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 
 def file_path() -> Column:
     """Path of the file a row comes from; the metadata column is percent-encoded."""
@@ -115,26 +124,36 @@ def read_csv(
     path: str | list[str],
     encoding: str = "UTF-8",
     header: list[str] | None = None,
+    na: list[str] | None = NA_TEXTS,
     **options,
 ) -> DataFrame:
     """Text columns of CSV files that share one header, plus `file` and `ordinal`.
 
+    Quotes are doubled inside quoted cells, and a backslash is an ordinary character. Cells
+    whose whole text is in `na` are null; pass None to keep them.
+
     Nothing is inferred, so `5.45E+17` and leading zeros survive; blank cells are null.
     Names come from `header` or from the first file's header line. Further options, such
     as `multiLine` for quoted line breaks, go to the reader.
     """
     if header is None:
-        first = spark.read.options(header=False, encoding=encoding, **options).csv(path).first()
+        plain = {**QUOTING, **options, "header": False, "encoding": encoding}
+        first = spark.read.options(**plain).csv(path).first()
         header = list(first) if first else []
     names = safe_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = (
-        spark.read.options(header=True, encoding=encoding, enforceSchema=True, **options)
+        spark.read.options(**{
+            **QUOTING, **options, "header": True, "encoding": encoding,
+            "enforceSchema": names != header,  # else a file with other headers is an error
+        })
         .schema(schema)
         .csv(path)
     )
+    missing = list(na or ())
     return rows.select(
-        *[F.col(quoted(n)) for n in names],
+        *[F.when(~F.col(quoted(n)).isin(missing), F.col(quoted(n))).alias(n) if missing
+          else F.col(quoted(n)) for n in names],
         file_path().alias(FILE),
         row_order(rows).alias(ORDINAL),
     )
@@ -175,12 +194,33 @@ def read_directory(
     return out
 
 
-def load_file(spark: SparkSession, path: str, fallback_encoding: str = FALLBACK_ENCODING) -> DataFrame:
-    """One CSV file with its encoding decided."""
-    if not path.lower().endswith(".csv"):
+def load_file(
+    spark: SparkSession,
+    path: str,
+    fallback_encoding: str = FALLBACK_ENCODING,
+    fmt: str | None = None,
+    **options,
+) -> DataFrame:
+    """One side of a reconciliation, as text columns with `file` and `ordinal`.
+
+    path is a file, a directory or a glob. The format is that of the path's ending unless fmt
+    says `csv` or `parquet`. CSV files of one path must share a header and an encoding;
+    options go to read_csv, and from there to the reader.
+    """
+    fmt = fmt or path.lower().rsplit(".", 1)[-1]
+    if fmt == "parquet":
+        rows = spark.read.parquet(path)
+        return rows.select(
+            *[F.col(quoted(n)).cast("string").alias(n) for n in rows.columns],
+            file_path().alias(FILE), row_order(rows).alias(ORDINAL),
+        )
+    if fmt != "csv":
         raise ValueError("Unsupported file format")
-    found = encodings(spark, path, fallback_encoding, glob=None).first()
-    return read_csv(spark, path, found["encoding"] if found else "UTF-8")
+    found = encodings(spark, path, fallback_encoding, glob=None).select("encoding").distinct()
+    kinds = [r["encoding"] for r in found.limit(2).collect()]
+    if len(kinds) > 1:
+        raise ValueError(f"Files of {path} differ in encoding")
+    return read_csv(spark, path, kinds[0] if kinds else "UTF-8", **options)
 
 
 def _contains(name: Column, words: list[str]) -> Column:

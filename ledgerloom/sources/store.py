@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.money import DEFAULT_MONEY, Money
 
+CSV_OUT = {"header": True, "quote": '"', "escape": '"'}
 JOBS, RESULTS, DISCREPANCIES = "jobs", "results", "discrepancies"
 
 # Columns and types; MONEY stands for the decimal type of amounts, SUM for its totals.
@@ -112,7 +113,7 @@ def export_sides(
     for df, target in zip((our_rows, bank_rows), targets):
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(**CSV_OUT)
         writer.format(fmt).save(target)
     return targets
 
@@ -120,8 +121,9 @@ def export_sides(
 def dump(store: Store, path: str, fmt: str = "parquet") -> None:
     """Write stored jobs and results, newest first."""
     for name in (JOBS, RESULTS):
-        ordered = store.read(name).orderBy(F.desc("created_at"), F.desc("job_id"))
+        last = [F.asc("id")] if name == RESULTS else []  # else one job's rows are one sort task
+        ordered = store.read(name).orderBy(F.desc("created_at"), F.desc("job_id"), *last)
         writer = ordered.write.mode("overwrite")
         if fmt == "csv":
-            writer = writer.option("header", True)
+            writer = writer.options(**CSV_OUT)
         writer.format(fmt).save(os.path.join(path, name))
