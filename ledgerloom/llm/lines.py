@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 MIN_WORDS = 5        # shorter units are never removed: they repeat by chance
+HEAVY = 1 / 1024     # share of all units from which a digest's rows are not shuffled
 LINE = r"\n"
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
 
@@ -68,6 +69,27 @@ def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataF
         run, "row long, key long, start long, end long, h1 long, h2 long")
 
 
+def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
+    """Rows of found, a written table of digests(), that are not the first of their digest.
+
+    A digest of at least `share` of all rows, of which there are at most 1 / share, is looked
+    up by broadcast where its rows are; all others meet their first by a shuffle, so that no
+    task gets more than that share for one digest.
+    """
+    rank = F.struct(F.col("key").isNull(), "key", "row", "start")
+    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    first = c.cut(first.where("n > 1").select(
+        "h1", "h2", F.col("first.row").alias("first_row"),
+        F.col("first.start").alias("first_start"), "n"))
+    least = found.count() * share
+    heavy = F.broadcast(first.where(F.col("n") >= F.lit(least)))
+    light = first.where(F.col("n") < F.lit(least)).hint("merge")
+    same = ["h1", "h2"]
+    both = found.join(heavy, same).unionByName(
+        found.join(heavy.select(*same), same, "left_anti").join(light, same))
+    return both.where("row <> first_row or start <> first_start")
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """(key, text, n_removed, removed) of every row of docs: text without repeated units.
@@ -81,12 +103,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = c.cut(docs.select(F.monotonically_increasing_id().alias("row"),
                              F.col(key).cast("long").alias("key"), F.col(text).alias("t")))
     found = c.cut(digests(rows, "t", separator, min_words))
-    rank = F.struct(F.col("key").isNull(), "key", "row", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("h1", "h2", F.col("first.row").alias("first_row"),
-                                        F.col("first.start").alias("first_start"))
-    again = found.join(first, ["h1", "h2"]).where(
-        "row <> first_row or start <> first_start")
+    again = _repeats(found)
     spans = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(
         "removed"))
     joined = rows.join(spans, "row", "left")
