@@ -28,8 +28,12 @@ def to_long(
     *,
     file: Column | None = None,
     order: Column | None = None,
+    only: list[str] | None = None,
 ) -> DataFrame:
-    """One row per cell, values as text; `file` and `ordinal` default to columns of that name."""
+    """One row per cell, values as text; `file` and `ordinal` default to columns of that name.
+
+    `only` leaves out the cells of other columns, which then are not read.
+    """
     columns = columns or [c for c in df.columns if c not in ("file", "ordinal")]
     cells = F.array(
         *[
@@ -39,6 +43,7 @@ def to_long(
                 F.col(quoted(name)).cast("string").alias("val"),
             )
             for i, name in enumerate(columns)
+            if only is None or name in only
         ]
     )
     return df.select(

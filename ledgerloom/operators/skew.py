@@ -11,15 +11,32 @@ SPREAD = 1 << 16
 
 
 def heavy_keys(
-    df: DataFrame, key: str, share: float = 0.002, min_rows: int = 100_000, tracked: int = 2048
+    df: DataFrame, key: str, share: float | None = None, min_rows: int = 100_000
 ) -> DataFrame:
     """Keys holding at least `share` of the rows: never more than 1/share of them.
 
-    One pass with a fixed-size sketch per task and no shuffle by key. The answer only
-    steers salting, so an approximate count is enough.
+    The share defaults to that of one shuffle partition, or 1/500 if there are fewer. One
+    pass with a fixed-size sketch per task and no shuffle by key; sketches are merged by
+    groups of tasks before one task merges the groups. The answer only steers salting, so an
+    approximate count is enough.
     """
-    top = F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})")
-    stats = df.where(F.col(key).isNotNull()).agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
+    if share is None:
+        share = 1 / max(500, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most = int(1 / share)
+    tracked = min(1_000_000, 8 * most)
+    tasks = df.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"),
+        F.pmod(F.spark_partition_id(), F.lit(SALT_BUCKETS)).alias("_tasks"),
+    )
+    by_tasks = tasks.groupBy("_tasks").agg(
+        F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("_sketch"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    # Grouped by a constant: without input there is nothing to merge, and no row.
+    stats = by_tasks.withColumn("_all", F.lit(0)).groupBy("_all").agg(
+        F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"),
+        F.sum("_rows").alias("n"),
+    ).select(F.expr(f"approx_top_k_estimate(_sketch, {most})").alias("top"), "n")
     return (
         stats.select(F.explode("top").alias("t"), "n")
         .where(F.col("t.count") >= F.greatest(F.col("n") * share, F.lit(min_rows)))

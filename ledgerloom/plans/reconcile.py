@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import display_id, legacy_amount, records_to_columns
 from ledgerloom.functions.money import DEFAULT_MONEY, Money
@@ -16,13 +17,14 @@ from ledgerloom.operators import matching as m
 from ledgerloom.operators import roles as rl
 from ledgerloom.operators import stored
 from ledgerloom.operators.keywords import detection_keywords
-from ledgerloom.operators.profile import column_profile, to_long
+from ledgerloom.operators.profile import SAMPLE_ROWS, column_profile, first_cells, to_long
 from ledgerloom.sources import store as st
 from ledgerloom.sources.files import FILE, ORDINAL, load_file, preview
 
 BANK_COLUMN = "Paying Bank Name"
 LEGACY_AMOUNT_COLUMN = "Paid Amt"
 STATUS_COLUMN = "Reconciliation Result"
+LEADING = 10         # leading rows looked at for each value of a sample
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -84,8 +86,46 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (FILE, ORDINAL)]
 
 
-def _one_file(df: DataFrame, name: str) -> DataFrame:
-    return to_long(df, data_columns(df), file=F.lit(name), order=F.col(ORDINAL))
+def _leading_rows(df: DataFrame, n: int) -> tuple[list[Row], bool]:
+    """First rows of a side in row order, at most `n`, and whether there are no others.
+
+    No rows if their order cannot be told from where they come from: running row numbers must
+    start from 0 without a gap, and of several files the rows are those of the first block of
+    the first path, which one task reads in order.
+    """
+    if isinstance(df.schema[ORDINAL].dataType, T.StructType):
+        first = F.col(f"{ORDINAL}.path") == min(df.inputFiles())
+        return df.where(first & (F.col(f"{ORDINAL}.block") == 0)).limit(n).collect(), False
+    rows = df.limit(n).collect()
+    in_order = [r[ORDINAL] for r in rows] == list(range(len(rows)))
+    return (rows, len(rows) < n) if in_order else ([], False)
+
+
+def sampled(df: DataFrame, name: str, n: int = SAMPLE_ROWS) -> DataFrame:
+    """Cells of one side from which the first `n` filled ones of every column can be taken.
+
+    The leading rows, read from one block, are enough for every column that is filled in `n`
+    of them. Only the other columns are read through.
+    """
+    columns = data_columns(df)
+    rows, whole = _leading_rows(df, LEADING * n)
+    dense = [c for c in columns if whole or sum(r[c] is not None for r in rows) >= n]
+    sparse = [c for c in columns if c not in dense]
+    schema = T.StructType([T.StructField(ORDINAL, T.LongType()), *[df.schema[c] for c in columns]])
+
+    def cells(values: list[tuple], only: list[str]) -> DataFrame:
+        head = df.sparkSession.createDataFrame([(i, *v) for i, v in enumerate(values)], schema)
+        return to_long(head, columns, file=F.lit(name), order=F.col(ORDINAL), only=only)
+
+    if not sparse:
+        return cells([tuple(r[c] for c in columns) for r in rows], dense)
+    through = to_long(df, columns, file=F.lit(name), order=F.col(ORDINAL), only=sparse)
+    filled = first_cells(through.where(F.col("val").isNotNull()), n)
+    filled = filled.withColumn(ORDINAL, F.col("rn").cast("long")).drop("rn")
+    # A null cell each, after all others, keeps columns without any value.
+    out = filled.unionByName(cells([(None,) * len(columns)], sparse))
+    return out.unionByName(cells([tuple(r[c] for c in columns) for r in rows], dense)) \
+        if dense else out
 
 
 def detect_roles(
@@ -109,10 +149,10 @@ def detect_roles(
     wanted = []
     ours = bank = ours_profile = bank_profile = None
     if not (our_trx and our_amount):
-        ours = _one_file(ledger, "our")
+        ours = sampled(ledger, "our")
         ours_profile = column_profile(ours)
     if not (bank_trx and bank_amount):
-        bank = _one_file(statement, "bank")
+        bank = sampled(statement, "bank")
         bank_profile = column_profile(bank)
 
     def header(df: DataFrame) -> DataFrame:
@@ -166,7 +206,7 @@ def analyze(ledger: DataFrame, statement: DataFrame, **detection) -> dict[str, d
     }
     out = {}
     for name, (df, rules, scorer) in rows.items():
-        long = _one_file(df, name)
+        long = sampled(df, name)
         scores = rules(column_profile(long))
         top = rl.cascade(scorer(long), scores) if scorer else rl.best_columns(scores)
         row = top.first()

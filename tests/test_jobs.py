@@ -254,3 +254,26 @@ def test_keyword_files(spark, tmp_path):
     assert again.count() == 30 and rejected.count() == 0
     lines = [line for f in sorted(os.listdir(out)) if f.startswith("part") for line in open(f"{out}/{f}")]
     assert sum(line.startswith("#") for line in lines) == 3
+
+
+def test_sample_of_leading_rows_equals_that_of_all(spark, tmp_path):
+    from ledgerloom.operators.profile import column_profile, to_long
+    from ledgerloom.plans.reconcile import data_columns, sampled
+
+    text = "n,late,none,rare\n" + "".join(
+        f"{i},{i if i > 2000 else ''},,{i if i % 90 == 0 else ''}\n" for i in range(3000))
+    write(tmp_path / "many" / "a.csv", text)
+    write(tmp_path / "many" / "b.csv", text)
+    one = files.load_file(spark, str(tmp_path / "many" / "a.csv"))
+    many = files.load_file(spark, str(tmp_path / "many"), fmt="csv")
+    short = files.load_file(spark, write(tmp_path / "s.csv", "a,b\n1,\n2,x\n"))
+    empty = files.load_file(spark, write(tmp_path / "e.csv", "a,b\n"))
+    own = one.where("n < 0 or n >= 5")  # row numbers do not start from 0
+    for df in (one, many, short, empty, own):
+        full = to_long(df, data_columns(df), file=F.lit("f"), order=F.col("ordinal"))
+        got, want = (column_profile(x) for x in (sampled(df, "f"), full))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # Columns that the leading rows fill are not read through; a file read whole is not again.
+    plan = sampled(one, "f")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<late:string,none:string,rare:string>" in plan
+    assert "FileScan" not in sampled(short, "f")._jdf.queryExecution().executedPlan().toString()
