@@ -198,6 +198,49 @@ def test_allocation_sums_and_is_cheapest(parts):
     assert np.isclose(sum(cost[i, t + 1] for i, t in enumerate(got)), best)
 
 
+def slow_similarity(a, b):
+    """Jaccard similarity of sets of five-word shingles."""
+    sets = []
+    for t in (a, b):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def edited_texts():
+    """Unlike texts, each with copies that have words changed apart from one another."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 8, 40):
+            new = list(words)
+            for at in rng.choice(150, changes, False):
+                new[at] = "changed"
+            texts.append(" ".join(new))
+    return texts
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_the_stage_links_similar_texts_beyond_the_distance(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = edited_texts()
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
+    fps = [slow_fingerprint(t) for t in texts]
+    bits = {(a, b): (fps[a] ^ fps[b]).bit_count() for a, b in pairs}
+    like = [p for p in pairs if slow_similarity(texts[p[0]], texts[p[1]]) >= 0.8]
+    assert any(bits[p] > 3 for p in like)
+    want = roots(range(len(texts)), like + [p for p in pairs if bits[p] <= 3])
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[4]), (None, "alone")],
+                                 "doc_id long, text string")
+    got = simhash.similar_groups(docs.where("doc_id is not null")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    kept = simhash.keep_one(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["alone"]
+
+
 # --- personal data ---
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
