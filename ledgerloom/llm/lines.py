@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-MIN_WORDS = 5        # shorter units are never removed: they repeat by chance
+MIN_WORDS = 5        # default of the operator, below which units stay; the query has no minimum
 HEAVY = 1 / 1024     # share of all units from which a digest's rows are not shuffled
 LINE = r"\n"
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
@@ -37,9 +37,18 @@ def normalised(unit: str) -> list[str]:
     return re.findall(r"\w+", unit.lower())
 
 
+def hashed_words(unit: str, min_words: int) -> list[str]:
+    """What a unit is hashed by, empty if it is not: with a minimum of one word, a unit of signs
+    alone goes by its signs, and only blank units stay."""
+    words = normalised(unit)
+    if not words and min_words == 1:
+        return unit.split()
+    return words if len(words) >= min_words else []
+
+
 def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataFrame:
-    """(row, key, start, end, h1, h2) of every unit of at least min_words words of docs, which
-    has columns row, key and the text. The digest has 128 bits."""
+    """(row, key, start, end, h1, h2) of every unit of docs that hashed_words takes. docs has
+    columns row, key and the text. The digest has 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,8 +59,8 @@ def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataF
             for i, (row, t) in enumerate(zip(batch.column(0).to_pylist(),
                                              batch.column(2).to_pylist())):
                 for s, e in units(t or "", separator):
-                    words = normalised((t or "")[s:e])
-                    if len(words) >= min_words:
+                    words = hashed_words((t or "")[s:e], min_words)
+                    if words:
                         hashes += hashlib.blake2b(" ".join(words).encode(
                             "utf-8", "surrogatepass"), digest_size=16).digest()
                         take.append(i)
@@ -141,7 +150,8 @@ def _cut_out(text: str, spans: list[tuple[int, int]], separator: str) -> str:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated lines; removed as start:end, comma-joined."""
-    out = without_repeats(c.table(spark, sf_dir, "documents"))
+    """Every document without its repeated lines, short ones too; removed as start:end,
+    comma-joined."""
+    out = without_repeats(c.table(spark, sf_dir, "documents"), min_words=1)
     return out.select("doc_id", "text", "n_removed", F.array_join(F.transform(
         "removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"))

@@ -405,6 +405,16 @@ def test_lines_keep_the_earliest(spark, odd):
         assert [tuple(x) for x in got[i]["removed"]] == removed
 
 
+def test_the_query_removes_short_lines_too(spark, tmp_path):
+    texts = ["Yes.\n\n***\n東京タワーの夜景\nonly here", "yes\n\n* **\n東京タワーの夜景\n***\nno",
+             None, "\n\n", "***"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in lines.op3_lines(spark, str(tmp_path)).collect()}
+    assert [got[i]["text"] for i in range(5)] == [texts[0], "\n* **\nno", None, "\n\n", ""]
+    assert got[1]["removed"] == "0:3,10:18,19:22" and got[4]["removed"] == "0:3"
+
+
 def test_paragraphs(spark):
     p = "one two three four five six"
     docs = spark.createDataFrame([(1, f"{p}\n\nother"), (2, f"x\n\n{p}"), (3, p)],
