@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from . import common as c
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k"
+SPECIAL = {"<|endoftext|>": 50256}   # texts with an id of their own, cut out before all else
 END = 0                  # id after every document
 CACHE = 400_000          # word pieces whose ids a task remembers
 PER_RANGE = 200_000      # rows that one range of a round holds, about
@@ -61,8 +63,16 @@ class Tokens:
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
                                           special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in SPECIAL.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")")
 
     def encode(self, text: str) -> bytes:
+        if not self.cuts.search(text):
+            return self._ordinary(text)
+        return b"".join(self.special[t] if t in self.special else self._ordinary(t)
+                        for t in self.cuts.split(text))
+
+    def _ordinary(self, text: str) -> bytes:
         pieces = pieces_of(text)
         try:
             return b"".join(map(self.known.__getitem__, pieces))

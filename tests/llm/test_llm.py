@@ -350,6 +350,20 @@ def test_packed_sequences_are_whole_and_gapless(spark, odd):
     assert_gapless([(r["sequence_id"], r["offset"], r["length"]) for r in rows], 2048)
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for _, t, *_ in odd_rows()]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a\n<|endoftext|>",
+              "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext<|endoftext|>|>", "a  <|endoftext|>  b"]
+    for t in texts:
+        got = np.frombuffer(packing.tokens().encode(t), "<u4").tolist()
+        assert got == tk.encode(t, add_special_tokens=False).ids, t[:80]
+    assert 50256 in tk.encode(texts[-1], add_special_tokens=False).ids
+
+
 def assert_gapless(rows, capacity):
     at = {}
     for seq, offset, length in sorted(rows):
