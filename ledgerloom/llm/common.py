@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = r"\x20\x09-\x0D"
+HUB = 1 / 1024       # share of all edges from which a node's minimum is broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,13 +100,23 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _looked_up(rows: DataFrame, low: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with m of their key from low (key, m, n). Keys of at least HUB of `total` rows, at most
+    1 / HUB of them, are looked up by broadcast where the rows are; the others by a shuffle."""
+    least = F.lit(max(2, int(total * HUB)))
+    hubs = F.broadcast(low.where(F.col("n") >= least).select(key, "m"))
+    others = rows.join(hubs.select(key), key, "left_anti")
+    return rows.join(hubs, key).unionByName(
+        others.join(low.where(F.col("n") < least).select(key, "m").hint("merge"), key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges, root being the smallest node reachable.
 
     Alternating large and small stars: each round is two grouped minima and two equi-joins on
     edges, repeated until the edges stop changing (logarithmically many rounds). Groups are
     only ever reduced to a minimum, so a node with very many edges costs no task more than a
-    partial aggregate; joins on such a node are left to Spark's skew join.
+    partial aggregate, and the minima of such nodes are looked up by broadcast.
     """
     x, y = F.col(a), F.col(b)
     now = cut(edges.where(x != y).select(F.greatest(x, y).alias("big"),
@@ -114,12 +125,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while was[0]:
         both = now.select(F.col("big").alias("u"), F.col("small").alias("v")).union(
             now.select(F.col("small").alias("u"), F.col("big").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        low = low.select("u", F.least("u", "m").alias("m"), "n")
+        large = _looked_up(both.where("v > u"), low, "u", 2 * was[0]).where("v <> m").select(
             F.col("v").alias("big"), F.col("m").alias("small")).distinct()
-        low = large.groupBy("big").agg(F.min("small").alias("m"))
-        small = large.join(low, "big").where("small <> m").select(
+        low = large.groupBy("big").agg(F.min("small").alias("m"), F.count("*").alias("n"))
+        small = _looked_up(large, low, "big", 2 * was[0]).where("small <> m").select(
             F.col("small").alias("big"), F.col("m").alias("small")).union(
             low.select("big", F.col("m").alias("small"))).distinct()
         new = cut(small)

@@ -1,7 +1,9 @@
 """Substring dedup by line hashing.
 
-A text's units are its lines, or its paragraphs. Units are normalised and hashed; of each digest
-the earliest occurrence stays, by key and then place in the text, and all others are removed.
+A text's units are its lines, its paragraphs, or its lines cut at sentence ends. Units are
+normalised and hashed; of each digest the earliest occurrence stays, by key and then place in the
+text, and the others are repeats. Repeats are removed where they stand in a stretch of adjacent
+repeats of at least `min_run` words: a single short line recurs by chance.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from pyspark.sql import functions as F
 from . import common as c
 
 MIN_WORDS = 5        # default of the operator, below which units stay; the query has no minimum
+RUN_WORDS = 25       # words of adjacent repeats from which the query removes them
+LONG_WORD = 20       # longer words, as of scripts without spaces, count once for each 6 letters
 HEAVY = 1 / 1024     # share of all units from which a digest's rows are not shuffled
 LINE = r"\n"
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
+SENTENCE = r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])"
 
 
 def units(text: str, separator: str = LINE) -> list[tuple[int, int]]:
@@ -46,36 +51,41 @@ def hashed_words(unit: str, min_words: int) -> list[str]:
     return words if len(words) >= min_words else []
 
 
+def n_words(words: list[str]) -> int:
+    return sum(1 if len(w) <= LONG_WORD else -(-len(w) // 6) for w in words)
+
+
 def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataFrame:
-    """(row, key, start, end, h1, h2) of every unit of docs that hashed_words takes. docs has
-    columns row, key and the text. The digest has 128 bits."""
+    """(row, key, unit, start, end, words, h1, h2) of every unit of docs that hashed_words takes,
+    numbered within its row. docs has columns row, key and the text. The digest has 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             hashes = bytearray()
             keys = batch.column(1)
             take = []
             for i, (row, t) in enumerate(zip(batch.column(0).to_pylist(),
                                              batch.column(2).to_pylist())):
+                unit = 0
                 for s, e in units(t or "", separator):
                     words = hashed_words((t or "")[s:e], min_words)
                     if words:
                         hashes += hashlib.blake2b(" ".join(words).encode(
                             "utf-8", "surrogatepass"), digest_size=16).digest()
                         take.append(i)
-                        out[0].append(row)
-                        out[1].append(s)
-                        out[2].append(e)
+                        for column, x in zip(out, (row, unit, s, e, n_words(words))):
+                            column.append(x)
+                        unit += 1
             h = np.frombuffer(bytes(hashes), np.int64).reshape(-1, 2)
+            row, *rest = (pa.array(x, pa.int64()) for x in out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), keys.take(pa.array(take, pa.int64())),
-                 pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
+                [row, keys.take(pa.array(take, pa.int64())), *rest,
                  pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                names=["row", "key", "start", "end", "h1", "h2"])
+                names=["row", "key", "unit", "start", "end", "words", "h1", "h2"])
 
     return docs.select("row", "key", text).mapInArrow(
-        run, "row long, key long, start long, end long, h1 long, h2 long")
+        run, "row long, key long, unit long, start long, end long, words long, h1 long, h2 long")
 
 
 def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
@@ -100,32 +110,37 @@ def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                    separator: str = LINE, min_words: int = MIN_WORDS) -> DataFrame:
+                    separator: str = LINE, min_words: int = MIN_WORDS, min_run: int = 0
+                    ) -> DataFrame:
     """(key, text, n_removed, removed) of every row of docs: text without repeated units.
 
     removed is an array of (start, end) in code points of the original text, by start. A unit
-    goes with the separator after it, or before it at the text's end. Keys rank occurrences,
-    null last; rows that share a key, or have none, rank by the order in which they were first
-    written. Null texts stay null and empty ones empty; repeated rows lose all that the first
-    of them keeps.
+    goes with the separator after it, or before it at the text's end. Units that are not hashed
+    (blank ones, those under min_words) stay and do not part what stands around them. Repeats go
+    only in stretches of at least min_run words. Keys rank occurrences, null last; rows that share
+    a key, or have none, rank by the order in which they were first written. Null texts stay null
+    and empty ones empty; repeated rows lose all that the first of them keeps. A very long text is
+    one row of one task, its units rows of their own. Other columns of docs are left out, whatever
+    their names.
     """
     rows = c.cut(docs.select(F.monotonically_increasing_id().alias("row"),
                              F.col(key).cast("long").alias("key"), F.col(text).alias("t")))
     found = c.cut(digests(rows, "t", separator, min_words))
     again = _repeats(found)
-    spans = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(
-        "removed"))
+    spans = again.groupBy("row").agg(F.sort_array(F.collect_list(
+        F.struct("unit", "start", "end", "words"))).alias("removed"))
     joined = rows.join(spans, "row", "left")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed = batch.column(2).to_pylist()
-            new = [t if not r else _cut_out(t, [(x["start"], x["end"]) for x in r], separator)
+            removed = [in_runs(r or [], min_run) for r in batch.column(2).to_pylist()]
+            new = [t if not r else _cut_out(t, r, separator)
                    for t, r in zip(batch.column(1).to_pylist(), removed)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(new, pa.string()),
-                 pa.array([len(r or ()) for r in removed], pa.int64()),
-                 pa.array([r or [] for r in removed], batch.column(2).type)],
+                 pa.array([len(r) for r in removed], pa.int64()),
+                 pa.array([[{"start": a, "end": b} for a, b in r] for r in removed], span)],
                 names=["key", "text", "n_removed", "removed"])
 
     out = joined.select("key", "t", "removed").mapInArrow(
@@ -134,6 +149,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("key", key)
 
 
+def in_runs(repeats: list[dict], min_run: int) -> list[tuple[int, int]]:
+    """(start, end) of the repeats, by unit, that stand in stretches of at least min_run words."""
+    out: list[tuple[int, int]] = []
+    stretch: list[dict] = []
+    for x in [*repeats, None]:
+        if stretch and (x is None or x["unit"] != stretch[-1]["unit"] + 1):
+            if sum(r["words"] for r in stretch) >= min_run:
+                out += [(r["start"], r["end"]) for r in stretch]
+            stretch = []
+        stretch.append(x)
+    return out
+
+
 def _cut_out(text: str, spans: list[tuple[int, int]], separator: str) -> str:
     """text without the spans, each with the separator after it, or before it at the end."""
     out, at = [], 0
@@ -150,8 +178,9 @@ def _cut_out(text: str, spans: list[tuple[int, int]], separator: str) -> str:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated lines, short ones too; removed as start:end,
-    comma-joined."""
-    out = without_repeats(c.table(spark, sf_dir, "documents"), min_words=1)
+    """Every document without its repeated passages: lines cut at sentence ends, short ones too,
+    in stretches of at least RUN_WORDS words; removed as start:end, comma-joined."""
+    out = without_repeats(c.table(spark, sf_dir, "documents"), separator=SENTENCE, min_words=1,
+                          min_run=RUN_WORDS)
     return out.select("doc_id", "text", "n_removed", F.array_join(F.transform(
         "removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed"))

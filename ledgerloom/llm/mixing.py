@@ -63,8 +63,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size",
-        weight: str = "weight", bins: int = BINS, **limits) -> DataFrame:
-    """(key, size, source_size, target, taken) of every row of docs.
+        weight: str = "weight", bins: int = BINS, carry: tuple[str, ...] = (), **limits
+        ) -> DataFrame:
+    """(key, size, source_size, target, taken, *carry) of every row of docs.
 
     docs has a size (words, tokens; not null) and a positive quality weight for each row. taken
     is the size times the copies the mix takes. Null sources are one source. Rows of size 0 are
@@ -73,7 +74,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     """
     rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"),
                        F.col(size).cast("long").alias("size"),
-                       F.col(weight).cast("double").alias("weight"))
+                       F.col(weight).cast("double").alias("weight"),
+                       *[F.col(x).alias(f"carried_{x}") for x in carry])
     u = uniform(F.col("id"))
     rank = F.pow(u, 1.0 / F.col("weight"))
     rows = rows.withColumn("rank", rank).drop("weight")
@@ -107,20 +109,22 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     fine = fine.withColumn("more", ((over <= 0) | ((under > 0) & (over < under))).cast("long"))
     coarse = placed.where("whole or not begun").withColumn(
         "more", F.col("whole").cast("long"))
-    columns = ["id", "size", "source_size", "target", "epochs", "more"]
+    kept = [f"carried_{x}" for x in carry]
+    columns = ["id", "size", "source_size", "target", "epochs", "more", *kept]
     both = fine.select(*columns).union(coarse.select(*columns))
     return both.select(F.col("id").alias(key), "size", "source_size", "target",
-                       ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"))
+                       ((F.col("epochs") + F.col("more")) * F.col("size")).alias("taken"),
+                       *[F.col(k).alias(x) for k, x in zip(kept, carry)])
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, size, weight): weight 2 for label 1, 1/2 for label 0, else 1."""
+def with_quality(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, source, size, weight, *carry): weight 2 for label 1, 1/2 for label 0, else 1."""
     best = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max("quality").alias("best")).withColumnRenamed("doc_id", "label_id")
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *carry)
     weight = F.when(F.col("best") >= 1, 2.0).when(F.col("best") == 0, 0.5).otherwise(1.0)
     return sized.join(best, F.col("doc_id") == F.col("label_id"), "left").select(
-        "doc_id", "source", "size", weight.alias("weight"))
+        "doc_id", "source", "size", weight.alias("weight"), *carry)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,16 +135,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, copies as rows of their own.
 
-    Documents without words carry no size; they have no part in the mix and go.
+    Documents without words carry no size; they have no part in the mix and go. Rows are numbered
+    as they are written once, and each is taken as often as its own row of the mix says, whether it
+    shares its doc_id with others, repeats them or has none. Columns of docs may have any names but
+    those that begin with __mix_.
     """
-    sized = with_quality(docs, c.table(spark, sf_dir, "labels"))
-    plan = mix(sized).where("taken > 0").groupBy("doc_id").agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("__copies"))
-    plan = plan.withColumnRenamed("doc_id", "__id")
-    taken = docs.where(size_of(F.col("text")) > 0).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(
-        *docs.columns)
+    rows = c.cut(docs.where(size_of(F.col("text")) > 0).withColumn(
+        "__mix_row", F.monotonically_increasing_id()))
+    sized = with_quality(rows, c.table(spark, sf_dir, "labels"), "__mix_row")
+    plan = mix(sized, carry=("__mix_row",)).where("taken > 0").select("__mix_row", (
+        F.col("taken") / F.col("size")).cast("int").alias("__mix_copies"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))
+    return rows.join(plan, "__mix_row").withColumn("__mix_copy", copies).select(*docs.columns)
 
 
 ORACLES = {"op1_mixing": rf"""

@@ -29,10 +29,6 @@ ROW_COST = 100.0     # a signature row against comparing one candidate pair
 RUN = 2048           # fingerprints of one key compared in memory; larger keys are split again
 LEVELS = 3
 CHUNK = 1 << 16      # shingles hashed at once
-SIMILAR_SHINGLE = 5  # words of the shingles whose Jaccard similarity the pipeline goes by
-SIMILARITY = 0.8
-BANDS, BAND = 25, 5  # MinHash bands and minima in each: a pair at 0.8 shares none once in 20,000
-BLOCK = 256          # texts of one band key compared in memory with as many others
 NO_ID = 1 << 62      # keys of rows without a doc_id begin here
 
 
@@ -347,107 +343,6 @@ def link(nodes: DataFrame, distance: int = DISTANCE, run: int = RUN, levels: int
         rows = _split_again(rest, level, distance) if level <= levels else _block_pairs(rest)
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def shingle_set(text: bytes | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's shingles; of all its words if they are fewer."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    width = min(shingle, len(h))
-    mixed = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        mixed = (mixed ^ h[i:i + len(mixed)]) * _STEP
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed * _MIX)
-
-
-def set_key(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
-
-
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """Keys of a set's MinHash bands; a set of one shingle is like none but its equals."""
-    if len(shingles) < 2:
-        return np.empty(0, np.int64)
-    rng = np.random.default_rng(SEED)
-    by = rng.integers(0, 1 << 63, (BANDS * BAND, 2), np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        part = shingles[None, at:at + 1024] * by[:, :1] + by[:, 1:]
-        np.minimum(low, part.min(1), out=low)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in low.reshape(BANDS, BAND).T:
-        key = (key ^ column) * _STEP
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of set numbers of at least this Jaccard similarity, as many as join what all such
-    pairs join."""
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(shingle, kind="stable")
-    holders = owner[order]
-    first = np.searchsorted(shingle[order], np.arange(shingle.max() + 2))
-    label, out, at = np.arange(len(sets)), [], 0
-    for i, n in enumerate(size):
-        mine = shingle[at:at + n]
-        at += n
-        shared = np.zeros(len(sets), np.int64)
-        for s in mine:
-            shared[holders[first[s]:first[s + 1]]] += 1
-        like = np.flatnonzero(shared[:i] >= similarity * (size[:i] + n - shared[:i]) - 1e-9)
-        for j in like:
-            if label[i] != label[j]:
-                out.append((i, int(j)))
-                label[label == label[i]] = label[j]
-    return out
-
-
-def similar_links(texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float
-                  ) -> DataFrame:
-    """Edges (a, b) between ids of nodes (sk, id, root, bands) that share a MinHash band and
-    whose texts (id, t) have this Jaccard similarity, less what links within them imply.
-
-    Keys that hold the same nodes, or nodes of one root alone, are compared once or not at all;
-    keys of many nodes by pairs of blocks, each giving a forest.
-    """
-    banded = nodes.select("sk", "id", "root", F.explode("bands").alias("band"))
-    held = banded.groupBy("band").agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("sk").bitwiseAND((1 << 40) - 1)).alias("h"),
-        F.min("sk").alias("least"), F.max("sk").alias("most"),
-        F.min("root").alias("r"), F.max("root").alias("r2"))
-    held = held.where("n > 1 and r <> r2").groupBy("n", "h", "least", "most").agg(
-        F.min("band").alias("band"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    met = banded.join(held.select("band", blocks.alias("blocks")), "band")
-    met = met.withColumn("own", F.pmod(F.xxhash64("sk"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = c.cut(met.select("id", "sk", F.xxhash64(
-        "band", F.least("own", "other"), F.greatest("own", "other")).alias("g")))
-
-    def compare(table: pa.Table) -> pa.Table:
-        found = {}
-        for i, sk, t in zip(*(table.column(x).to_pylist() for x in ("id", "sk", "t"))):
-            if sk not in found:
-                s = shingle_set(t, shingle)
-                if set_key(s) == sk:     # another text under the same id has another
-                    found[sk] = (i, s)
-        ids = [i for i, _ in found.values()]
-        pairs = similar_forest([s for _, s in found.values()], similarity) if ids else []
-        return pa.table({"a": pa.array([ids[x] for x, _ in pairs], pa.int64()),
-                         "b": pa.array([ids[y] for _, y in pairs], pa.int64())})
-
-    rows = met.join(texts.hint("merge"), "id").select("g", "id", "sk", "t")
-    return rows.groupBy("g").applyInArrow(compare, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(key, fingerprint, component_id) of every row of docs.
@@ -468,46 +363,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "component_id")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   distance: int = DISTANCE, shingle: int = SIMILAR_SHINGLE,
-                   similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component_id) of every row of docs, whose keys are not null.
-
-    component_id is the smallest key reachable by links of near_duplicates and by those of
-    Jaccard similarity of at least `similarity` between sets of shingles of `shingle` words.
-    64-bit fingerprints at that similarity differ in about 10 bits and often in 16, too many for
-    keys of their parts, so MinHash bands find the candidates; all are verified.
-    """
-
-    def rows(cols: dict[str, pa.Array]) -> dict[str, list]:
-        texts = cols["t"].to_pylist()
-        sets = [shingle_set(x, shingle) for x in texts]
-        fps = np.array([fingerprint(x) for x in texts], np.uint64)
-        return {"id": cols["id"], "fp": fps.view(np.int64), "sk": [set_key(s) for s in sets],
-                "bands": [bands_of(s) for s in sets]}
-
-    texts = docs.select(F.col(key).cast("long").alias("id"),
-                        F.col(text).cast("binary").alias("t"))
-    marks = c.cut(c.map_arrow(texts, rows, "id long, fp long, sk long, bands array<long>"))
-    nodes = c.cut(marks.groupBy("fp").agg(F.min("id").alias("id")))
-    edges = c.cut(link(nodes, distance))
-    roots = c.components(edges)
-    near_ = c.cut(nodes.join(roots, nodes.id == roots.node, "left").select(
-        "fp", F.coalesce("root", "id").alias("root")))
-    sets = marks.groupBy("sk").agg(F.min_by(F.struct("id", "fp", "bands"), "id").alias("s"))
-    sets = c.cut(sets.select("sk", "s.*").join(near_, "fp").select("sk", "id", "root", "bands"))
-    # One set may have several fingerprints, and one fingerprint several sets.
-    both = marks.select("fp", "sk").distinct().join(near_, "fp").join(
-        sets.select("sk", F.col("root").alias("other")), "sk")
-    joined = both.where("root <> other").select(F.col("root").alias("a"), F.col("other").alias("b"))
-    joined = joined.union(sets.where("id <> root").select("id", "root")).union(
-        similar_links(texts, sets, shingle, similarity))
-    roots = c.components(joined)
-    named = near_.join(roots, near_.root == roots.node, "left").select(
-        "fp", F.coalesce(roots.root, near_.root).alias("component_id"))
-    return marks.join(named, "fp").select(F.col("id").alias(key), "component_id")
-
-
 def components_of(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return c.components(link(nodes, distance))
 
@@ -517,15 +372,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (similar_groups) the row with the
-    smallest doc_id stays.
+    """Pipeline stage: of each group of near duplicates (op6_simhash's shingle length and distance)
+    the row with the smallest doc_id stays.
 
     Of rows that share that doc_id, one stays. Rows without a doc_id stay unless their text is
     a near duplicate of one that has an id.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID) + F.shiftrightunsigned(
         F.xxhash64(F.coalesce("text", F.lit(""))), 3))
-    groups = c.cut(similar_groups(docs.select(key.alias("doc_id"), "text")))
+    groups = c.cut(near_duplicates(docs.select(key.alias("doc_id"), "text")))
     kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = c.cut(kept.withColumnRenamed("doc_id", "__kept")).hint("merge")
     once = docs.join(kept.where("n = 1").select("__kept"), F.col("doc_id") == F.col("__kept"),

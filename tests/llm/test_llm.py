@@ -198,47 +198,27 @@ def test_allocation_sums_and_is_cheapest(parts):
     assert np.isclose(sum(cost[i, t + 1] for i, t in enumerate(got)), best)
 
 
-def slow_similarity(a, b):
-    """Jaccard similarity of sets of five-word shingles."""
-    sets = []
-    for t in (a, b):
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
-        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
-
-
-def edited_texts():
-    """Unlike texts, each with copies that have words changed apart from one another."""
+def test_the_stage_keeps_one_of_each_group(spark):
+    """Words changed in copies; groups by the operator's shingle length and distance."""
     rng = np.random.default_rng(12)
     texts = []
     for _ in range(12):
-        words = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+        words = [f"w{x}" for x in rng.integers(0, 3000, 400)]
         texts.append(" ".join(words))
-        for changes in (1, 2, 3, 8, 40):
+        for changes in (0, 1, 2, 40):
             new = list(words)
-            for at in rng.choice(150, changes, False):
+            for at in rng.choice(400, changes, False):
                 new[at] = "changed"
             texts.append(" ".join(new))
-    return texts
-
-
-@pytest.mark.parametrize("block", [256, 3])
-def test_the_stage_links_similar_texts_beyond_the_distance(spark, block, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    texts = edited_texts()
-    pairs = [(a, b) for b in range(len(texts)) for a in range(b)]
     fps = [slow_fingerprint(t) for t in texts]
-    bits = {(a, b): (fps[a] ^ fps[b]).bit_count() for a, b in pairs}
-    like = [p for p in pairs if slow_similarity(texts[p[0]], texts[p[1]]) >= 0.8]
-    assert any(bits[p] > 3 for p in like)
-    want = roots(range(len(texts)), like + [p for p in pairs if bits[p] <= 3])
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[4]), (None, "alone")],
-                                 "doc_id long, text string")
-    got = simhash.similar_groups(docs.where("doc_id is not null")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    pairs = [(a, b) for b in range(len(texts)) for a in range(b)
+             if (fps[a] ^ fps[b]).bit_count() <= 3]
+    want = roots(range(len(texts)), pairs)
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[5]), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.keep_one(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
-    assert [r["text"] for r in kept if r["doc_id"] is None] == ["alone"]
+    assert {r["text"] for r in kept if r["doc_id"] is None} == {"alone"}
 
 
 # --- personal data ---
@@ -328,6 +308,31 @@ def test_targets_by_repeated_resharing(spark):
     assert got == pytest.approx(target)
 
 
+def test_the_stage_takes_the_words_of_the_mix(spark, tmp_path):
+    """Rows that share a doc_id, repeat each other or have none are each taken as planned."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 else 7 if i % 2 else i, " ".join(["w"] * int(rng.integers(0, 12))),
+             "ab"[i % 5 == 0], f"x{i}") for i in range(90)] + [(7, "w w", "a", "same")] * 3
+    rows += [(500, None, "a", None), (501, "", None, None), (502, "w", None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, copies string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = mixing.op1_mixing(spark, str(tmp_path)).collect()
+    got = mixing.mixed(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    assert sum(words(r["text"]) for r in got.collect()) == sum(r["taken"] for r in plan)
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"]] += r["taken"]
+    have = Counter()
+    for r in got.collect():
+        have[r["doc_id"]] += words(r["text"])
+    assert have == Counter({k: v for k, v in want.items() if v})
+
+
 # --- packing ---
 
 def test_packed_sequences_are_whole_and_gapless(spark, odd):
@@ -335,7 +340,6 @@ def test_packed_sequences_are_whole_and_gapless(spark, odd):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     want = Counter()
     for i, text in docs_of(spark, odd):
         ids = tk.encode(text or "", add_special_tokens=False).ids + [0]
@@ -419,14 +423,65 @@ def test_lines_keep_the_earliest(spark, odd):
         assert [tuple(x) for x in got[i]["removed"]] == removed
 
 
-def test_the_query_removes_short_lines_too(spark, tmp_path):
-    texts = ["Yes.\n\n***\n東京タワーの夜景\nonly here", "yes\n\n* **\n東京タワーの夜景\n***\nno",
-             None, "\n\n", "***"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in lines.op3_lines(spark, str(tmp_path)).collect()}
-    assert [got[i]["text"] for i in range(5)] == [texts[0], "\n* **\nno", None, "\n\n", ""]
-    assert got[1]["removed"] == "0:3,10:18,19:22" and got[4]["removed"] == "0:3"
+def slow_passages(rows):
+    """Texts without repeated stretches, by the parameters of the query."""
+    seen, out = set(), {}
+    for i, text in rows:
+        if text is None:
+            out[i] = (None, "")
+            continue
+        spans, at = [], 0
+        for m in re.finditer(lines.SENTENCE, text):
+            spans.append((at, m.start(), m.end()))
+            at = m.end()
+        spans.append((at, len(text), len(text)))
+        hashed = []
+        for s, e, cut in spans:
+            words = re.findall(r"\w+", text[s:e].lower()) or text[s:e].split()
+            if words:
+                hashed.append((s, e, cut, words, " ".join(words) in seen))
+                seen.add(" ".join(words))
+        gone, stretch = [], []
+        for h in [*hashed, (0, 0, 0, [], False)]:
+            if h[4]:
+                stretch.append(h)
+            else:
+                if sum(len(x[3]) for x in stretch) >= 25:
+                    gone += stretch
+                stretch = []
+        kept, at = "", 0
+        for s, e, cut, _, _ in gone:
+            kept, at = kept + text[at:s], cut
+        rest = text[at:]
+        if gone and not rest and gone[-1][1] == len(text) and kept:
+            kept = re.sub(r"(\n|(?<=[.!?])[ \t]+)$", "", kept, count=1) if gone[-1][2] == len(text) else kept
+        out[i] = (kept + rest, ",".join(f"{s}:{e}" for s, e, *_ in gone))
+    return out
+
+
+def test_the_query_removes_repeated_passages(spark, tmp_path):
+    """The query's own parameters: short units count, single short repeats stay, null keys rank
+    last and repeated rows lose all but the first."""
+    rng = np.random.default_rng(21)
+    say = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 90, n))
+    passage = ". ".join([say(11), "Yes", say(9), say(14) + "\n" + say(8), say(12)]) + "."
+    rows = [(1, f"{say(9)}.\nYes.\n{passage} {say(5)}."), (2, f"{say(7)}. {passage}\n{say(4)}"),
+            (3, f"{say(20)}. Yes. {say(3)}"), (4, passage.upper()), (5, None), (6, ""),
+            (7, f"{say(8)} mid {passage[20:-20]} {say(6)}. End"), (8, "\n\n***\n东京的夜景。" * 3),
+            (9, f"{say(30)}.\n\n{say(9)}"), (20, f"x. {passage}")]
+    rows.append((9, rows[8][1]))
+    docs = [*rows, (None, passage)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet")
+    want = slow_passages([(j, t) for j, (_, t) in enumerate(sorted(
+        docs, key=lambda r: (r[0] is None, r[0] or 0)))])
+    keys = sorted((k for k, _ in docs), key=lambda k: (k is None, k or 0))
+    got = Counter((r["doc_id"], r["text"], r["removed"]) for r in lines.op3_lines(
+        spark, str(tmp_path)).collect())
+    assert got == Counter((k, *want[j]) for j, k in enumerate(keys))
+    texts = {k: t for k, t, _ in got}
+    assert texts[3] == rows[2][1] and texts[4] == "" and texts[20] == "x."
+    assert passage[40:80] in texts[1] and passage[40:80] not in texts[7] and texts[None] == ""
 
 
 def test_paragraphs(spark):
