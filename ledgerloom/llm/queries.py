@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import (embeddings, language, licenses, lines, mixing, packing, pii, quality, simhash, spotsigs)
+from . import (
+    audit, bpe, embeddings, language, licenses, lines, mixing, packing, pii, quality, runs, simhash,
+    spotsigs,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +18,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_pii": pii.op9_pii,
     "op10_language": language.op10_language,
+    "op11_audit": audit.op11_audit,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_runs": runs.op13_runs,
 }
-ORACLES = dict(mixing.ORACLES)
+ORACLES = mixing.ORACLES | audit.ORACLES
