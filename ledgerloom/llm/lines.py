@@ -56,12 +56,13 @@ def n_words(words: list[str]) -> int:
 
 
 def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataFrame:
-    """(row, key, unit, start, end, words, h1, h2) of every unit of docs that hashed_words takes,
-    numbered within its row. docs has columns row, key and the text. The digest has 128 bits."""
+    """(row, key, unit, place, h1, h2) of every unit of docs that hashed_words takes. docs has
+    columns row, key and the text. The digest has 128 bits. unit is its number within its row and
+    its words, place its start and end, each pair as the halves of one long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [])
             hashes = bytearray()
             keys = batch.column(1)
             take = []
@@ -74,7 +75,7 @@ def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataF
                         hashes += hashlib.blake2b(" ".join(words).encode(
                             "utf-8", "surrogatepass"), digest_size=16).digest()
                         take.append(i)
-                        for column, x in zip(out, (row, unit, s, e, n_words(words))):
+                        for column, x in zip(out, (row, unit << 32 | n_words(words), s << 32 | e)):
                             column.append(x)
                         unit += 1
             h = np.frombuffer(bytes(hashes), np.int64).reshape(-1, 2)
@@ -82,10 +83,10 @@ def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [row, keys.take(pa.array(take, pa.int64())), *rest,
                  pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
-                names=["row", "key", "unit", "start", "end", "words", "h1", "h2"])
+                names=["row", "key", "unit", "place", "h1", "h2"])
 
     return docs.select("row", "key", text).mapInArrow(
-        run, "row long, key long, unit long, start long, end long, words long, h1 long, h2 long")
+        run, "row long, key long, unit long, place long, h1 long, h2 long")
 
 
 def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
@@ -95,18 +96,19 @@ def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
     up by broadcast where its rows are; all others meet their first by a shuffle, so that no
     task gets more than that share for one digest.
     """
-    rank = F.struct(F.col("key").isNull(), "key", "row", "start")
+    rank = F.struct(F.col("key").isNull(), "key", "row", "place")
     first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     first = c.cut(first.where("n > 1").select(
         "h1", "h2", F.col("first.row").alias("first_row"),
-        F.col("first.start").alias("first_start"), "n"))
+        F.col("first.place").alias("first_place"), "n"))
     least = found.count() * share
     heavy = F.broadcast(first.where(F.col("n") >= F.lit(least)))
     light = first.where(F.col("n") < F.lit(least)).hint("merge")
     same = ["h1", "h2"]
+    found = found.drop("key")
     both = found.join(heavy, same).unionByName(
         found.join(heavy.select(*same), same, "left_anti").join(light, same))
-    return both.where("row <> first_row or start <> first_start")
+    return both.where("row <> first_row or place <> first_place")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -128,7 +130,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = c.cut(digests(rows, "t", separator, min_words))
     again = _repeats(found)
     spans = again.groupBy("row").agg(F.sort_array(F.collect_list(
-        F.struct("unit", "start", "end", "words"))).alias("removed"))
+        F.struct("unit", "place"))).alias("removed"))
     joined = rows.join(spans, "row", "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -150,15 +152,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def in_runs(repeats: list[dict], min_run: int) -> list[tuple[int, int]]:
-    """(start, end) of the repeats, by unit, that stand in stretches of at least min_run words."""
+    """(start, end) of the repeats (unit, place), by unit, in stretches of at least min_run words."""
     out: list[tuple[int, int]] = []
-    stretch: list[dict] = []
+    stretch: list[tuple[int, int, int, int]] = []
     for x in [*repeats, None]:
-        if stretch and (x is None or x["unit"] != stretch[-1]["unit"] + 1):
-            if sum(r["words"] for r in stretch) >= min_run:
-                out += [(r["start"], r["end"]) for r in stretch]
+        unit, words = divmod(x["unit"], 1 << 32) if x else (-1, 0)
+        if stretch and unit != stretch[-1][0] + 1:
+            if sum(s[1] for s in stretch) >= min_run:
+                out += [s[2:] for s in stretch]
             stretch = []
-        stretch.append(x)
+        if x:
+            stretch.append((unit, words, *divmod(x["place"], 1 << 32)))
     return out
 
 
