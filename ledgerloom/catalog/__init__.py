@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection_queries, file_queries, matching_queries, stored_queries
+from . import csv_queries, detection_queries, file_queries, matching_queries, stored_queries
 
-_MODULES = (matching_queries, detection_queries, stored_queries, file_queries)
+_MODULES = (matching_queries, detection_queries, stored_queries, file_queries, csv_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

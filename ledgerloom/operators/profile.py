@@ -54,6 +54,27 @@ def to_long(
     )
 
 
+def to_rows(
+    df: DataFrame, columns: list[str] | None = None, *, file: Column | None = None,
+    order: Column | None = None,
+) -> DataFrame:
+    """One row per row with its cells as text in an array: (file, ordinal, names, vals)."""
+    columns = columns or [c for c in df.columns if c not in ("file", "ordinal")]
+    return df.select(
+        (F.col("file") if file is None else file).alias("file"),
+        (F.col("ordinal") if order is None else order).alias("ordinal"),
+        F.array(*[F.lit(c) for c in columns]).alias("names"),
+        F.array(*[F.col(quoted(c)).cast("string") for c in columns]).alias("vals"),
+    )
+
+
+def explode_rows(rows: DataFrame) -> DataFrame:
+    """The long form of rows (file, ordinal, names, vals)."""
+    cells = F.transform("names", lambda name, i: F.struct(
+        i.alias("position"), name.alias("col"), F.get("vals", i).alias("val")))
+    return rows.select("file", "ordinal", F.size("names").alias("n_cols"), F.inline(cells))
+
+
 def headers(long: DataFrame) -> DataFrame:
     """(file, position, n_cols, col) of every column, also of empty ones."""
     return long.select("file", "position", "n_cols", "col").distinct()

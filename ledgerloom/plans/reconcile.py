@@ -19,7 +19,7 @@ from ledgerloom.operators import stored
 from ledgerloom.operators.keywords import detection_keywords
 from ledgerloom.operators.profile import SAMPLE_ROWS, column_profile, first_cells, to_long
 from ledgerloom.sources import store as st
-from ledgerloom.sources.files import FILE, ORDINAL, load_file, preview
+from ledgerloom.sources.files import BLOCK_ROWS, FILE, ORDINAL, input_paths, open_side, preview
 
 BANK_COLUMN = "Paying Bank Name"
 LEGACY_AMOUNT_COLUMN = "Paid Amt"
@@ -80,6 +80,7 @@ class Run:
     discrepancies: DataFrame
     bank_matches: DataFrame
     report: DataFrame
+    rejected: DataFrame | None = None    # bad rows of the files, by side, if files were read
 
 
 def data_columns(df: DataFrame) -> list[str]:
@@ -89,15 +90,19 @@ def data_columns(df: DataFrame) -> list[str]:
 def _leading_rows(df: DataFrame, n: int) -> tuple[list[Row], bool]:
     """First rows of a side in row order, at most `n`, and whether there are no others.
 
-    No rows if their order cannot be told from where they come from: running row numbers must
-    start from 0 without a gap, and of several files the rows are those of the first block of
-    the first path, which one task reads in order.
+    No rows if their order cannot be told from where they come from, or if some are missing among
+    them. Of several files the rows are those of the first block of the first path.
     """
-    if isinstance(df.schema[ORDINAL].dataType, T.StructType):
-        first = F.col(f"{ORDINAL}.path") == min(df.inputFiles())
-        return df.where(first & (F.col(f"{ORDINAL}.block") == 0)).limit(n).collect(), False
+    paths = input_paths(df)
+    if not isinstance(df.schema[ORDINAL].dataType, T.DecimalType) or not paths:
+        return [], False
+    if len(paths) > 1:
+        first = (F.col(FILE) == paths[0]) & (F.col(ORDINAL) < BLOCK_ROWS)
+        return df.where(first).limit(n).collect(), False
     rows = df.limit(n).collect()
-    in_order = [r[ORDINAL] for r in rows] == list(range(len(rows)))
+    at = [int(r[ORDINAL]) for r in rows]
+    in_order = not at or at[0] == 0 and all(
+        b == a + 1 or b > a and b % BLOCK_ROWS == 0 for a, b in zip(at, at[1:]))
     return (rows, len(rows) < n) if in_order else ([], False)
 
 
@@ -355,15 +360,27 @@ def _discrepancies(store: st.Store, job_id: int) -> DataFrame:
 
 def reconcile_files(
     spark: SparkSession, our_path: str, bank_path: str, store: st.Store, *, job_name: str,
-    reader: dict | None = None, **options
+    reader: dict | None = None, our_reader: dict | None = None, bank_reader: dict | None = None,
+    **options
 ) -> Run:
-    """Load two sides (CSV or parquet: a file, a directory or a glob) and reconcile them."""
+    """Load two sides (CSV or parquet: a file, a directory or a glob) and reconcile them.
+
+    `reader` holds options of open_side for both sides, the others for one; each side is read by
+    its own format. Bad rows of either are in the run's `rejected`; `{"bad": "fail"}` makes them an
+    error instead.
+    """
     base = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
-    return reconcile(
-        load_file(spark, our_path, **(reader or {})), load_file(spark, bank_path, **(reader or {})),
-        store, job_name=job_name,
+    sides = {"our": (our_path, our_reader), "bank": (bank_path, bank_reader)}
+    opened = {name: open_side(spark, path, **{**(reader or {}), **(own or {})})
+              for name, (path, own) in sides.items()}
+    run = reconcile(
+        opened["our"][0], opened["bank"][0], store, job_name=job_name,
         our_file_name=base(our_path), bank_file_name=base(bank_path), **options,
     )
+    rejected = [bad.select(F.lit(name).alias("side"), "*")
+                for name, (_, bad) in opened.items() if bad is not None]
+    both = rejected[0].unionByName(rejected[-1]) if len(rejected) > 1 else next(iter(rejected), None)
+    return replace(run, rejected=both)
 
 
 def stored_job(store: st.Store, job_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
