@@ -32,6 +32,16 @@ def long_table(spark: SparkSession, sf: str, *layouts: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rows_table(spark: SparkSession, sf: str, *layouts: str) -> DataFrame:
+    parts = [pf.to_rows(tables.wide(spark, sf, x)) for x in layouts or tables.LAYOUTS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def sample_table(spark: SparkSession, sf: str, *layouts: str) -> DataFrame:
+    """First values of every column, in long form."""
+    return pf.first_values(rows_table(spark, sf, *layouts))
+
+
 def keyword_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(PART_KEYWORDS, part=tables.read(spark, sf, "part"))
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -58,11 +68,11 @@ def column_profile(spark, sf):
 
 
 def column_profile_sample(spark, sf):
-    return _profile_output(pf.column_profile(long_table(spark, sf)))
+    return _profile_output(pf.column_profile(sample_table(spark, sf)))
 
 
 def profile(spark, sf, *layouts):
-    return pf.column_profile(long_table(spark, sf, *layouts))
+    return pf.column_profile(sample_table(spark, sf, *layouts))
 
 
 def id_role_ours(spark, sf):
@@ -75,8 +85,8 @@ def id_role_bank(spark, sf):
 
 def _amount_scores(spark, sf):
     words = kw.detection_keywords(kw.seed_keywords(spark), "bank", spark)
-    long = long_table(spark, sf)
-    return rl.amount_scores(pf.column_profile(long), words, pf.headers(long))
+    first = sample_table(spark, sf)
+    return rl.amount_scores(pf.column_profile(first), words, pf.headers(first))
 
 
 def amount_role(spark, sf):
@@ -104,11 +114,11 @@ def keyword_scores(spark, sf):
 
 
 def neighbour_context(spark, sf):
-    return ft.neighbour_context(long_table(spark, sf)).drop("n_cols")
+    return ft.neighbour_context(sample_table(spark, sf)).drop("n_cols")
 
 
 def id_features(spark, sf):
-    out = ft.id_features(long_table(spark, sf))
+    out = ft.id_features(long_table(spark, sf), sample_table(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in ft.feature_names(out)})
 
 
@@ -119,7 +129,7 @@ BIG = [
 
 
 def amount_features(spark, sf):
-    out = ft.amount_features(long_table(spark, sf))
+    out = ft.amount_features(sample_table(spark, sf))
     return out.withColumns(
         {
             c: F.format_string("%.9e", F.col(c)) if c in BIG else F.round(c, 6)
@@ -129,11 +139,12 @@ def amount_features(spark, sf):
 
 
 def amount_candidates(spark, sf):
-    return pf.amount_candidates(long_table(spark, sf))
+    return pf.amount_candidates(pf.explode_rows(
+        pf.leading_rows(rows_table(spark, sf), pf.CANDIDATE_ROWS)))
 
 
 def header_listing(spark, sf):
-    return pf.header_listing(long_table(spark, sf))
+    return pf.header_listing(rows_table(spark, sf))
 
 
 def keywords_list(spark, sf):

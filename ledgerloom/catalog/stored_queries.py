@@ -26,6 +26,7 @@ from .detection_queries import (
     _profile_ctes,
     keyword_table,
     long_table,
+    sample_table,
 )
 from .matching_queries import MONEY, TOTAL, bank_side, money_columns, ours_all
 from .oracle import AMOUNT, over_long, over_sides
@@ -167,7 +168,7 @@ def preview(spark, sf):
 
 
 def column_policy(spark, sf):
-    return files.column_policy(long_table(spark, sf))
+    return files.column_policy(sample_table(spark, sf))
 
 
 def typed_columns(spark, sf):

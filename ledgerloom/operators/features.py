@@ -128,10 +128,11 @@ def _id_value_features() -> dict[str, Column]:
     }
 
 
-def id_features(long: DataFrame) -> DataFrame:
+def id_features(long: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """61 ID-detection features per column; an empty column has zeros for its values.
 
-    Count and distinct count cover the whole column, everything else its first values.
+    Count and distinct count cover the whole column, everything else its first values, which are
+    those of `first` (profile.first_values) if it is given.
     """
     whole = (
         long.groupBy(*HEADER)
@@ -143,7 +144,7 @@ def id_features(long: DataFrame) -> DataFrame:
     )
     value = _id_value_features()
     sampled = (
-        first_cells(long)
+        first_cells(long if first is None else first)
         .withColumn("text", strip(F.col("val")))
         .groupBy("file", "position")
         .agg(*[e.alias(n) for n, e in value.items()])

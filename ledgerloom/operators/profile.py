@@ -3,6 +3,10 @@
 The long form holds one row per cell: (file, ordinal, position, n_cols, col, val). Every
 operator groups by (file, position, col), so one job profiles a whole directory of
 files; a single file is the one-group case.
+
+Operators on first values need not see every cell. Before cells are exploded, a table has one row
+per row with its cells in an array: (file, ordinal, names, vals). first_values takes from it the few
+cells that the others go by; its result is a long table like any other.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ from ledgerloom.functions import strip
 from ledgerloom.functions.ids import NULL_TOKENS
 from ledgerloom.functions.money import parse_number
 from ledgerloom.functions.records import quoted
-from ledgerloom.operators.skew import first_per_group
+from ledgerloom.operators.skew import first_per_group, sized
+from ledgerloom.sources.store import checkpoint_dir
 
 COLUMN = ["file", "position", "col"]
 HEADER = [*COLUMN, "n_cols"]
 SAMPLE_ROWS = 100
+SLACK = 4            # leading rows looked at for each value of a sample
 
 
 def to_long(
@@ -68,16 +74,99 @@ def to_rows(
     )
 
 
+def _cells() -> Column:
+    """The cells of a row (names, vals), null ones too."""
+    return F.transform("names", lambda name, i: F.struct(
+        i.alias("position"), name.alias("col"), F.get("vals", i).alias("val")))
+
+
 def explode_rows(rows: DataFrame) -> DataFrame:
     """The long form of rows (file, ordinal, names, vals)."""
-    cells = F.transform("names", lambda name, i: F.struct(
-        i.alias("position"), name.alias("col"), F.get("vals", i).alias("val")))
-    return rows.select("file", "ordinal", F.size("names").alias("n_cols"), F.inline(cells))
+    return rows.select("file", "ordinal", F.size("names").alias("n_cols"), F.inline(_cells()))
 
 
-def headers(long: DataFrame) -> DataFrame:
-    """(file, position, n_cols, col) of every column, also of empty ones."""
-    return long.select("file", "position", "n_cols", "col").distinct()
+def headers(table: DataFrame) -> DataFrame:
+    """(file, position, n_cols, col) of every column, also of empty ones: of cells in long form, or
+    of rows (file, ordinal, names, vals), whose cells then are not looked at."""
+    if "names" in table.columns:
+        table = table.select("file", "names").distinct().select(
+            "file", F.size("names").alias("n_cols"), F.posexplode("names").alias("position", "col"))
+    return table.select("file", "position", "n_cols", "col").distinct()
+
+
+def _bounds(df: DataFrame, keys: list[str], n: int, head: Column | None) -> DataFrame:
+    """(keys, _upto, _part): an ordinal up to which each group has at least n rows, and whether
+    there are others; a row for each group.
+
+    Between the least and the greatest ordinal of a group its rows are taken to be spread evenly.
+    Where they are not numbered without a gap that is checked by counting, and a group that has too
+    few is taken whole. head marks rows that come before all others of their group.
+    """
+    checkpoint_dir(df.sparkSession)
+    at, reach = F.col("ordinal"), SLACK * n
+    inside = F.lit(True) if head is None else head
+    found = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(at).alias("low"), F.max(at).alias("high"),
+        F.count_if(inside).alias("head_rows"), F.max(F.when(inside, at)).alias("head_high"))
+    whole = (F.col("rows") <= reach) | (F.col("head_rows") < reach)
+    span = F.col("head_high") - F.col("low")
+    kind = df.schema["ordinal"].dataType
+    upto = F.col("low") + F.ceil(
+        span.cast("double") * reach / F.greatest("head_rows", F.lit(1))).cast(kind)
+    found = found.select(
+        *keys, "high", F.when(whole, F.col("high")).otherwise(upto.cast(kind)).alias("_upto"),
+        (~whole).alias("_part"), (~whole & (span + 1 != F.col("head_rows"))).alias("uneven"),
+    ).checkpoint()
+    uneven = found.where("uneven").select(*keys, "_upto")
+    if not uneven.isEmpty():
+        seen = df.join(sized(uneven), keys).where("ordinal <= _upto").groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("seen"))
+        few = F.col("uneven") & (F.coalesce("seen", F.lit(0)) < n)
+        found = found.join(seen, keys, "left").select(
+            *keys, F.when(few, F.col("high")).otherwise(F.col("_upto")).alias("_upto"),
+            (F.col("_part") & ~few).alias("_part")).checkpoint()
+    return found.select(*keys, "_upto", "_part")
+
+
+def _up_to(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+    near = df.join(sized(bounds.select(*keys, "_upto")), keys).where("ordinal <= _upto")
+    return near.drop("_upto")
+
+
+def leading_rows(rows: DataFrame, n: int, head: Column | None = None) -> DataFrame:
+    """Rows that come first in their file: at least the first n of each that has as many, and few
+    more. Hash aggregates alone tell which."""
+    return _up_to(rows, ["file"], _bounds(rows, ["file"], n, head))
+
+
+def first_values(rows: DataFrame, n: int = SAMPLE_ROWS, head: Column | None = None) -> DataFrame:
+    """Cells of rows (file, ordinal, names, vals) in long form, few of each column: its first n
+    filled ones, and a null one if it has fewer.
+
+    The leading rows of a file hold n values of every dense column. Only files that have columns
+    still short are read through, and of those columns only filled cells. What is sorted is a few
+    times n cells of a column, whatever the size of its file.
+    """
+    bounds = _bounds(rows, ["file"], n, head)
+    cells = explode_rows(_up_to(rows, ["file"], bounds))
+    top = first_cells(cells, n).drop("rn").checkpoint()
+    short = top.groupBy("file", "position").agg(F.count("val").alias("n_values")).where(
+        F.col("n_values") < n).join(sized(bounds.where("_part").select("file")), "file")
+    short = short.groupBy("file").agg(F.collect_set("position").alias("_short")).checkpoint()
+    if short.isEmpty():
+        return top
+    filled = F.filter(_cells(), lambda c: F.array_contains("_short", c["position"])
+                      & c["val"].isNotNull())
+    through = rows.join(sized(short), "file").select(
+        "file", "ordinal", F.size("names").alias("n_cols"), F.inline(filled))
+    keys = ["file", "position"]
+    ends = _bounds(through, keys, n, None)
+    if ends.isEmpty():
+        return top                       # no more values anywhere
+    again = first_cells(_up_to(through, keys, ends), n).drop("rn")
+    columns = sized(short.select("file", F.explode("_short").alias("position")))
+    return top.join(columns, keys, "left_anti").unionByName(
+        top.where(F.col("val").isNull()).join(columns, keys, "left_semi")).unionByName(again)
 
 
 def first_cells(long: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
@@ -160,9 +249,10 @@ def amount_candidates(long: DataFrame) -> DataFrame:
     return stats.where(F.col("n_numeric") >= F.col("n_values") * 0.7)
 
 
-def header_listing(long: DataFrame, files: int | None = None) -> DataFrame:
-    """Columns of every file, for labelling, or of the first `files` files by name."""
-    listing = headers(long).select(*COLUMN)
+def header_listing(table: DataFrame, files: int | None = None) -> DataFrame:
+    """Columns of every file, for labelling, or of the first `files` files by name; table is cells,
+    rows or a list of headers such as CsvFiles.columns()."""
+    listing = headers(table).select(*COLUMN)
     if files is None:
         return listing
     first = listing.select("file").distinct().orderBy("file").limit(files)

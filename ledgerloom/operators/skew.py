@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 
 SALT_BUCKETS = 64
 SPREAD = 1 << 16
+BROADCAST_ROWS = 100_000
+
+
+def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table kept for joining to a large one: broadcast if it has at most `limit` rows, else
+    hinted to meet it by a shuffle. It is counted, so it should be cheap to read."""
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small.hint("merge")
 
 
 def heavy_keys(

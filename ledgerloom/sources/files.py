@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.money import DEFAULT_MONEY, Money, is_number, parse_amount, parse_number
 from ledgerloom.functions.records import quoted
-from ledgerloom.operators.profile import COLUMN, explode_rows, first_cells
+from ledgerloom.operators.profile import (
+    COLUMN, SAMPLE_ROWS, explode_rows, first_cells, first_values,
+)
 from ledgerloom.sources.store import checkpoint_dir
 
 FILE_GLOB = "*.csv"
@@ -359,6 +361,11 @@ class CsvFiles:
         """Every cell as a row: (file, ordinal, n_cols, position, col, val)."""
         return explode_rows(self.rows())
 
+    def first_values(self, n: int = SAMPLE_ROWS) -> DataFrame:
+        """The first n filled cells of every column, in long form."""
+        return first_values(self.rows(), n, head=F.col(ORDINAL) % F.lit(
+            Decimal(FILE_ROWS)) < F.lit(Decimal(BLOCK_ROWS)))
+
     def columns(self) -> DataFrame:
         """(file, position, n_cols, col) of every file, from the headers alone."""
         return self.files.where(F.col("header").isNotNull()).select(

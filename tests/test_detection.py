@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +304,78 @@ def test_label_validation(spark):
     some = labels.withColumn("label_col", F.when(F.col("file_name") < "2", F.col("label_col")).otherwise(" "))
     assert tuple(learning.validate_labels(heads, some).first()) == (4, 2, "warn")
     assert learning.validate_labels(heads, labels.where("false")).first().verdict == "fail"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def uneven_rows(spark):
+    """Files whose ordinals are consecutive, spread, bunched at the end, tied or few; columns that
+    are dense, late, rare, empty."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for name, ordinals in {
+        "even": range(3000), "spread": sorted(rng.choice(10**9, 3000, False).tolist()),
+        "bunched": [0, *range(10**12, 10**12 + 2500)], "few": range(7, 30),
+        "tied": [1] * 900 + list(range(2, 700)), "one": [5],
+    }.items():
+        for k, o in enumerate(ordinals):
+            rows.append((name, int(o), ["d", "late", "rare", "none", "half"], [
+                f"{k % 37}", f"{o}" if k > 2000 else None, "x" if k % 90 == 0 else None, None,
+                f"{k}.5" if rng.random() < 0.5 else None]))
+    return spark.createDataFrame(
+        rows, "file string, ordinal long, names array<string>, vals array<string>").repartition(5)
+
+
+def test_first_values_equal_those_of_all_cells(spark):
+    rows = uneven_rows(spark)
+    cells = pf.explode_rows(rows)
+    for n in (100, 10, 3):
+        got = pf.column_profile(pf.first_values(rows, n), n).where("file <> 'tied'").collect()
+        want = pf.column_profile(cells, n).where("file <> 'tied'").collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 25
+        tied = pf.first_values(rows, n).where("file = 'tied'").groupBy("col").agg(
+            F.count("val").alias("k")).collect()
+        assert {r["col"]: r["k"] for r in tied if r["col"] in ("d", "none")} == {"d": n, "none": 0}
+    few = pf.first_values(rows, 100)
+    assert few.groupBy("file", "col").count().agg(F.max("count")).first()[0] <= 200
+
+
+def test_leading_rows_hold_the_first(spark):
+    rows = uneven_rows(spark)
+    near = pf.leading_rows(rows, 5)
+    got = {(r["file"], r["ordinal"]) for r in near.collect()}
+    for r in rows.where("file <> 'tied'").groupBy("file").agg(
+            F.sort_array(F.collect_list("ordinal")).alias("o")).collect():
+        assert {(r["file"], o) for o in r["o"][:5]} <= got
+    assert near.where("file in ('even', 'spread')").count() < 80
+    assert "Window" not in plan_of(near) and "Sort " not in plan_of(near)
+    # Candidates go by the first five rows, blank cells among them.
+    assert sorted(map(str, pf.amount_candidates(pf.explode_rows(near)).collect())) == sorted(
+        map(str, pf.amount_candidates(pf.explode_rows(rows)).collect()))
+
+
+def test_headers_need_no_cells(spark):
+    rows = uneven_rows(spark)
+    assert sorted(pf.headers(rows).collect()) == sorted(pf.headers(pf.explode_rows(rows)).collect())
+    assert "vals" not in rows.select("file", "names").columns
+    assert "Generate" in plan_of(pf.headers(rows)) and pf.header_listing(rows, 2).count() == 10
+
+
+def test_first_values_of_a_directory(spark, tmp_path):
+    """Several blocks and files: neither the scan's cells nor its rows are sorted."""
+    from ledgerloom.sources.files import CsvFiles
+
+    for k, size in enumerate((3000, 20, 2000)):
+        text = "n,late,none\n" + "".join(
+            f"{i},{i if i > 1500 else ''},\n" for i in range(size))
+        (tmp_path / f"{k}.csv").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        files = CsvFiles.open(spark, str(tmp_path), "*.csv")
+        got = pf.column_profile(files.first_values()).collect()
+        want = pf.column_profile(files.cells()).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 9
