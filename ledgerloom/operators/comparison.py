@@ -14,9 +14,9 @@ from ledgerloom.operators.matching import (
     MATCHED,
     MISSING_IN_BANK,
     MISSING_IN_OURS,
-    last_amounts,
+    with_ids,
 )
-from ledgerloom.operators.skew import heavy_keys, spread_left_join
+from ledgerloom.operators.skew import largest_groups, spread_left_join
 
 TOLERANCE = "0.01"
 CONFIDENCE_NEEDED = 30
@@ -125,13 +125,29 @@ def with_legacy_amount(
     return df.withColumn(name, legacy_amount(text, money))
 
 
-def _with_status(rows: DataFrame, other: DataFrame, order: Column, hot: DataFrame) -> DataFrame:
-    lookup = last_amounts(other).select(
-        "id", F.col("amount").alias("other_amount"), F.lit(True).alias("_found")
-    )
-    joined = spread_left_join(rows, lookup, "id", order, hot)
+def _tagged(ours: DataFrame, bank: DataFrame) -> DataFrame:
+    """Narrow rows of both sides, `our` telling them apart."""
+    kind = "decimal(38,0)" if ours.schema["ordinal"] != bank.schema["ordinal"] else None
+    order = F.col("ordinal").cast(kind) if kind else F.col("ordinal")
+    narrow = lambda s, our: s.select(
+        "id", "amount", order.alias("ordinal"), F.lit(our).alias("our"))
+    return narrow(ours, True).unionByName(narrow(bank, False))
+
+
+def last_of_both(tagged: DataFrame) -> DataFrame:
+    """(id, our_amount, our_rows, bank_amount, bank_rows): of every ID the amount of its last row
+    on each side (null amounts count as rows) and its rows there, in one aggregate."""
+    our, bank = F.col("our"), ~F.col("our")
+    last = lambda side: F.max_by(F.when(side, F.col("amount")), F.when(side, F.col("ordinal")))
+    return with_ids(tagged.withColumn("original", F.col("id"))).groupBy("id").agg(
+        last(our).alias("our_amount"), F.count_if(our).alias("our_rows"),
+        last(bank).alias("bank_amount"), F.count_if(bank).alias("bank_rows"))
+
+
+def _with_status(rows: DataFrame, lookup: DataFrame, known: DataFrame, order: Column) -> DataFrame:
+    joined = spread_left_join(rows, lookup, "id", order, known)
     status = (
-        F.when(F.col("_found").isNull(), "false")
+        F.when(~F.coalesce("_found", F.lit(False)), "false")
         .when(F.abs(F.col("amount") - F.col("other_amount")) > _cent(), "amt_diff")
         .otherwise("true")
     )
@@ -145,25 +161,33 @@ def row_status(rows: DataFrame, other: DataFrame, **heavy) -> DataFrame:
     amt_diff  the ID is there but the amounts differ by more than a cent
     false     the ID is not there
 
-    The other side is reduced to the last amount per ID, so each row finds at most one
-    partner; heavy and null IDs among the rows are spread.
+    Both sides are reduced to one row per ID by one aggregate: the other's last amount, and how
+    many rows the ID has here, which tells the heavy ones. Rows of those and of null IDs are spread.
     """
-    return _with_status(rows, other, F.col("ordinal"), heavy_keys(rows, "id", **heavy))
+    both = last_of_both(_tagged(rows, other))
+    wanted = ["id", F.col("bank_amount").alias("other_amount"),
+              (F.col("bank_rows") > 0).alias("_found")]
+    known = largest_groups(both, "our_rows", **heavy).select(*wanted)
+    return _with_status(rows, both.select(*wanted), known, F.col("ordinal"))
 
 
 def status_counts(ours: DataFrame, bank: DataFrame, **heavy) -> DataFrame:
     """Rows per status on each side.
 
-    A row's status depends only on its ID and amount, so equal rows are counted before
-    the join and the rows themselves are never shuffled.
+    The rows of both sides, tagged, are aggregated by ID once and meet that aggregate once. Equal
+    rows, as a status depends only on ID and amount, are counted before.
     """
-
-    def count(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        grouped = rows.groupBy("id", "amount").agg(F.count(F.lit(1)).alias("n"))
-        hot = heavy_keys(rows, "id", **heavy)
-        found = _with_status(grouped, other, F.col("amount"), hot)
-        return found.groupBy("status").agg(F.sum("n").alias("n")).select(
-            F.lit(name).alias("side"), "status", "n"
-        )
-
-    return count(ours, bank, "our").unionByName(count(bank, ours, "bank"))
+    tagged = _tagged(ours, bank)
+    both = last_of_both(tagged).withColumn("rows", F.col("our_rows") + F.col("bank_rows"))
+    wanted = ["id", "our_amount", "our_rows", "bank_amount", "bank_rows"]
+    known = largest_groups(both, "rows", **heavy).select(*wanted)
+    rows = tagged.groupBy("our", "id", "amount").agg(F.count(F.lit(1)).alias("n"))
+    joined = spread_left_join(
+        rows, both.select(*wanted), "id", F.struct("our", "amount"), known)
+    found = F.when(F.col("our"), F.col("bank_rows")).otherwise(F.col("our_rows")) > 0
+    gap = F.abs(F.col("amount") - F.when(F.col("our"), F.col("bank_amount")).otherwise(
+        F.col("our_amount")))
+    status = F.when(~F.coalesce(found, F.lit(False)), "false").when(
+        gap > _cent(), "amt_diff").otherwise("true")
+    side = F.when(F.col("our"), "our").otherwise("bank")
+    return joined.groupBy(side.alias("side"), status.alias("status")).agg(F.sum("n").alias("n"))

@@ -26,6 +26,7 @@ from ledgerloom.functions import (
 from ledgerloom.functions.ids import is_null_text, normal_text
 from ledgerloom.functions.money import DEFAULT_MONEY, Money
 from ledgerloom.functions.records import quoted
+from ledgerloom.operators.skew import largest_groups
 
 MATCHED = "matched"
 MISSING_IN_BANK = "missing_in_bank"
@@ -101,24 +102,36 @@ def last_amounts(s: DataFrame, *keys: str) -> DataFrame:
 
 
 def _collapsed(s: DataFrame, keys: list[str], prefix: str, with_records: bool) -> DataFrame:
-    """One row per key: record and original of the first row, amount of the last."""
+    """One row per key: record and original of the first row, amount of the last.
+
+    The aggregate is narrow and hash-based. Records are fetched afterwards by key and first
+    ordinal, by the partitioning that the aggregate has; ordinals are unique within a side. Of the
+    keys with most rows only the first row is sent.
+    """
     s = with_ids(s)
     zero = F.lit(0).cast(s.schema["amount"].dataType)
-    aggs = [
+    out = s.groupBy(*keys).agg(
         F.max_by(F.coalesce("amount", zero), "ordinal").alias(f"{prefix}_amount"),
         F.count(F.lit(1)).alias(f"{prefix}_rows"),
-    ]
-    if with_records:
-        first = F.min_by(F.struct("original", "record"), "ordinal")
-        aggs.append(first.alias(f"{prefix}_first"))
-    out = s.groupBy(*keys).agg(*aggs)
-    if with_records:
-        out = out.select(
-            "*",
-            F.col(f"{prefix}_first.original").alias(f"{prefix}_original"),
-            F.col(f"{prefix}_first.record").alias(f"{prefix}_record"),
-        ).drop(f"{prefix}_first")
-    return out
+        F.min("ordinal").alias("_first"),
+    )
+    if not with_records:
+        return out.drop("_first")
+    named = {k: f"_{k}" for k in keys}
+    same = lambda: [  # noqa: E731  IDs are never null here, banks may be
+        F.col(k) == F.col(n) if k == "id" else F.col(k).eqNullSafe(F.col(n))
+        for k, n in named.items()]
+    heavy = largest_groups(out, f"{prefix}_rows").select(
+        *[F.col(k).alias(n) for k, n in named.items()], "_first")
+    rows = s.select(*keys, "ordinal", "original", "record").join(
+        F.broadcast(heavy), same(), "left")
+    rows = rows.where(F.col("_first").isNull() | (F.col("ordinal") <= F.col("_first")))
+    rows = rows.select(*[F.col(k).alias(n) for k, n in named.items()], "ordinal",
+                       F.col("original").alias(f"{prefix}_original"),
+                       F.col("record").alias(f"{prefix}_record"))
+    # No row of a key comes before its first, so this leaves one.
+    found = out.join(rows, [*same(), F.col("ordinal") <= F.col("_first")], "left")
+    return found.drop("_first", "ordinal", *named.values())
 
 
 def first_banks(ledger: DataFrame) -> DataFrame:

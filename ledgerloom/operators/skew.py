@@ -51,28 +51,37 @@ def heavy_keys(
     )
 
 
+def largest_groups(
+    groups: DataFrame, rows: str, share: float | None = None, min_rows: int = 2
+) -> DataFrame:
+    """Of a table with a row per key, the keys with most rows: no more than 1/share of them, so
+    that any other key holds less than that share of all rows, and only those of at least
+    `min_rows`. The share defaults to that of one shuffle partition, or 1/500 if there are fewer."""
+    if share is None:
+        share = 1 / max(500, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return groups.orderBy(F.desc(rows)).limit(int(1 / share)).where(F.col(rows) >= min_rows)
+
+
 def spread_left_join(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
     order: Column,
-    hot: DataFrame,
+    known: DataFrame,
     buckets: int = SPREAD,
 ) -> DataFrame:
     """Left join of raw rows to a lookup that is unique on `key`.
 
-    `hot` comes from `heavy_keys`. The partners of the heavy keys are looked up first and
-    broadcast, at most 1/share rows. Rows with a heavy or null key then travel under a
-    made-up key, spread by a hash of their order so that a retried task repeats itself,
-    and ignore whatever they meet; all others find their partner by the shuffle. The
-    lookup is neither repeated nor shuffled again if it is already partitioned by key.
+    `known` holds the lookup's rows for the heavy keys, with the columns that are wanted; it comes
+    from largest_groups and is broadcast. Rows with a heavy or null key travel under a made-up key,
+    spread by a hash of their order so that a retried task repeats itself, and ignore whatever they
+    meet; all others find their partner by the shuffle. The lookup is neither repeated nor
+    shuffled again if it is already partitioned by key.
     """
     names = [c for c in lookup.columns if c != key]
     partner = F.struct(*names)
-    known = hot.join(lookup, key, "left").select(
-        key, F.lit(True).alias("_hot"), partner.alias("_known")
-    )
-    marked = rows.join(F.broadcast(known), key, "left")
+    heavy = known.select(key, F.lit(True).alias("_hot"), partner.alias("_known"))
+    marked = rows.join(F.broadcast(heavy), key, "left")
     aside = F.col("_hot").isNotNull() | F.col(key).isNull()
     spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(order), F.lit(buckets)).cast("string"))
     marked = marked.withColumn("_key", F.when(aside, spread).otherwise(F.col(key)))

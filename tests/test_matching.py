@@ -239,3 +239,51 @@ def test_full_join_shuffles_each_side_once(spark, example):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 2
     assert "SortAggregate" not in text
+
+
+def without_broadcasts(spark, make):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(make())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_records_are_fetched_after_hash_aggregates(spark, tmp_path):
+    from ledgerloom.sources import files
+
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"id,amt,bank\nA{k},1,X\nA0,{k},X\n")
+    df = files.load_file(spark, str(tmp_path), fmt="csv")
+    s = m.side(df, "id", "amt", "ordinal", bank_col="bank", record_cols=["id", "amt"], money=MONEY)
+    text = without_broadcasts(spark, lambda: m.reconcile_ids(s, s, with_records=True))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    # Each side by ID: its aggregate and its records, which meet without another shuffle.
+    assert text.count("Exchange hashpartitioning") <= 6
+    rows = {r["id"]: r for r in m.reconcile_ids(s, s, with_records=True).collect()}
+    assert set(rows) == {"A0", "A1", "A2"} and rows["A0"]["our_rows"] == 4
+    assert (str(rows["A0"]["our_amount"]), rows["A0"]["bank_record"]) == (
+        "2.0000" if rows["A0"]["our_amount"].as_tuple().exponent == -4 else "2.00",
+        '{"id":"A0","amt":"1"}')
+
+
+def test_records_of_hot_ids_and_blank_banks(spark):
+    o, b = hot_sides(spark, 600)
+    banks = F.when(F.col("ordinal") % 2 == 0, "A")
+    o = o.withColumn("record", F.concat(F.lit("r"), F.col("ordinal"))).withColumn("bank", banks)
+    b = b.withColumn("record", F.concat(F.lit("b"), F.col("ordinal")))
+    got = {r["id"]: r for r in m.reconcile_ids(o, b, with_records=True).collect()}
+    assert got["HOT"]["our_record"] == "r0" and got["HOT"]["bank_record"] == "b0"
+    assert got["HOT"]["our_rows"] == 200 and got["T5"]["our_record"] == "r5"
+    assert got["T5"]["bank_record"] is None
+    all_banks = m.reconcile_all_banks(o, b, with_records=True).collect()
+    hot = {r["bank"]: r["our_record"] for r in all_banks if r["id"] == "HOT"}
+    assert hot == {"A": "r0", None: "r3"}
+
+
+def test_status_counts_shuffle_by_id_twice(spark):
+    o, b = hot_sides(spark)
+    text = without_broadcasts(spark, lambda: cmp.status_counts(o, b))
+    assert "SortAggregate" not in text and text.count("Exchange hashpartitioning") <= 5
