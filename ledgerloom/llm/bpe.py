@@ -16,7 +16,6 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +31,10 @@ TOKENIZER = "byte_bpe_50k.json"
 LEXICON = 1 << 16    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
 KNOWN = 400_000      # words whose ids, or counts, a task keeps before it starts anew
+EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
 CHUNK = 1 << 21      # code points encoded at once
-SHORT = 24           # symbols up to which a word's pairs are searched rather than queued
+ID = "<i4"
+SHORT = 32           # bytes up to which words are merged together
 
 
 def byte_of_char() -> dict[str, int]:
@@ -61,12 +62,14 @@ class Tokenizer:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.base = max(self.bytes) + 1
         self.rank: dict[int, int] = {}                   # of a pair of ids
-        self.made: list[int] = []                        # id by rank
+        made = []                                        # id by rank
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocabulary[a] * self.base + vocabulary[b]] = rank
-            self.made.append(vocabulary[a + b])
-        self.none = len(self.made)
+            made.append(vocabulary[a + b])
+        self.made, self.none = np.array([*made, -1], np.int64), len(made)
+        self.pairs = np.array(sorted(self.rank) or [-1], np.int64)
+        self.pair_ranks = np.array([self.rank.get(k, self.none) for k in self.pairs.tolist()])
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.beyond = re.compile("[\u0378-\U0010FFFF]")    # from the first unassigned one on
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
@@ -88,29 +91,64 @@ class Tokenizer:
             return [text[s:e] for _, (s, e) in self.cutter.pre_tokenize_str(text)]
         return self.words_of(text)
 
-    def merge(self, word: str) -> list[int]:
-        """Ids of one word: of all neighbouring symbols the pair of the lowest rank is merged
-        first, the leftmost of equal ones."""
-        if word in self.special:
-            return [self.special[word]]
-        ids = [self.symbol[b] for b in word.encode("utf-8", "replace")]
-        return self._searched(ids) if len(ids) <= SHORT else self._queued(ids)
-
-    def _searched(self, ids: list[int]) -> list[int]:
-        rank, base, none = self.rank.get, self.base, self.none
-        ranks = [rank(a * base + b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            ids[i:i + 2] = [self.made[best]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank(ids[i] * base + ids[i + 1], none)
-            if i:
-                ranks[i - 1] = rank(ids[i - 1] * base + ids[i], none)
-        return ids
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as bytes (ID): of all its neighbouring symbols the pair of the lowest
+        rank is merged first, the leftmost of equal ones. Short words are merged together, long
+        ones by a queue."""
+        plain = [w.encode("utf-8", "replace") for w in words]
+        short = [i for i, w in enumerate(plain)
+                 if 0 < len(w) <= SHORT and words[i] not in self.special]
+        out = [b""] * len(words)
+        for i, ids in zip(short, self._together([plain[i] for i in short])):
+            out[i] = ids
+        for i in set(range(len(words))) - set(short):
+            out[i] = np.array([self.special[words[i]]] if words[i] in self.special else
+                              self._queued([self.symbol[b] for b in plain[i]]), ID).tobytes()
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, `none` for those that are never merged."""
+        key = a * self.base + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], self.none)
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """One merge in every word at a time, until no word has a pair left. Words that are done
+        are set aside, so that a step costs as much as there are symbols in the others."""
+        if not words:
+            return []
+        ids = np.array(self.symbol, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank = np.full(len(ids), self.none)          # of a symbol with the next of its word
+        rank[:-1] = np.where(owner[1:] == owner[:-1], self._ranks(ids[:-1], ids[1:]), self.none)
+        done = []
+        while len(ids):
+            start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            size = np.diff(np.append(start, len(ids)))
+            best = np.minimum.reduceat(rank, start)
+            if (best == self.none).any():
+                ended = np.repeat(best == self.none, size)
+                done.append((owner[ended], ids[ended]))
+                ids, owner, rank = ids[~ended], owner[~ended], rank[~ended]
+                continue
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
+            ids[at] = self.made[best]
+            after = np.minimum(at + 2, len(ids) - 1)
+            joined = (at + 2 < len(ids)) & (owner[after] == owner[at])
+            rank[at] = np.where(joined, self._ranks(ids[at], ids[after]), self.none)
+            before = at[(at > 0) & (owner[at - 1] == owner[at])] - 1
+            rank[before] = self._ranks(ids[before], ids[before + 1])
+            kept = np.ones(len(ids), bool)
+            kept[at + 1] = False
+            ids, owner, rank = ids[kept], owner[kept], rank[kept]
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        flat = ids[np.argsort(owner, kind="stable")].astype(ID).tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _queued(self, ids: list[int]) -> list[int]:
-        """The same for long words, in time n log n."""
+        """Ids of one word of n symbols, in time n log n."""
         base, n = self.base, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue: list[tuple[int, int, int]] = []
@@ -127,7 +165,7 @@ class Tokenizer:
             j = after[i]
             if ids[i] < 0 or j >= n or ids[i] * base + ids[j] != pair:
                 continue
-            ids[i], ids[j] = self.made[rank], -1
+            ids[i], ids[j] = int(self.made[rank]), -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
@@ -237,6 +275,8 @@ class Lexicon:
         at = 8 * np.concatenate(([6], 6 + np.cumsum(lengths)))
         self.keys, self.leads, self.adds, self.final, self.starts, self.ids = (
             np.frombuffer(block, np.int64, n, a) for n, a in zip(lengths, at))
+        self.flat = self.ids.astype(ID).tobytes()
+        self.ends = (4 * self.starts).tolist()
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Place of each word in the lexicon, -1 for those it does not hold. All words walk at
@@ -261,8 +301,8 @@ class Lexicon:
         held = (state >= 0) & (self.final[np.maximum(state, 0)] > 0)
         return np.where(held, place, -1)
 
-    def ids_of(self, place: int) -> np.ndarray:
-        return self.ids[self.starts[place]:self.starts[place + 1]]
+    def ids_of(self, places: list[int]) -> list[bytes]:
+        return [self.flat[self.ends[p]:self.ends[p + 1]] for p in places]
 
 
 def mapped(key: str, block: bytes) -> Lexicon:
@@ -324,12 +364,25 @@ def word_counts(docs: DataFrame, text: str = "text", path: str | None = None) ->
 
 def lexicon(docs: DataFrame, text: str = "text", limit: int = LEXICON, path: str | None = None
             ) -> bytes:
-    """The compiled transducer of the `limit` most frequent words of docs (of equally frequent
-    ones the first by bytes). At most `limit` words of LONGEST bytes reach the driver."""
-    tk = tokenizer(path)
-    top = word_counts(docs, text, path).orderBy(F.desc("n"), "word").limit(limit).collect()
-    words = [bytes(r["word"]) for r in top]
-    return compiled([(w, tk.merge(w.decode())) for w in words])
+    """The compiled transducer of the most frequent words of docs: those that occur at least as
+    often as the least count which no more than `limit` words reach, and more than once. So at most
+    `limit` words of LONGEST bytes reach the driver, and a row for each of the counts up to EXACT
+    and of the powers of two beyond."""
+    counts = c.cut(word_counts(docs, text, path).where("n > 1"))
+    n = F.col("n")
+    level = F.when(n <= EXACT, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("long"))
+    words, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(),
+                    key=lambda r: -r["level"]):
+        words += r["k"]
+        if words > limit:
+            break
+        least = r["level"]
+    top = counts.where(n >= F.lit(least)).select("word").collect() if least else []
+    c.discard(counts)
+    found = [bytes(r["word"]).decode() for r in top]
+    ids = (np.frombuffer(x, ID).tolist() for x in tokenizer(path).merge(found))
+    return compiled([(w.encode(), x) for w, x in zip(found, ids)])
 
 
 # --- encoding and decoding ------------------------------------------------------------------
@@ -349,12 +402,13 @@ class Encoder:
             self.known.clear()
             new = used
         words = list(new)
-        for w, place in zip(words, self.lex.places(
-                [w.encode("utf-8", "replace") for w in words]).tolist()):
-            ids = self.lex.ids_of(place).tolist() if place >= 0 else self.tk.merge(w)
-            self.known[w] = array("i", ids).tobytes()
+        places = self.lex.places([w.encode("utf-8", "replace") for w in words]).tolist()
+        held = [(w, p) for w, p in zip(words, places) if p >= 0]
+        unseen = [w for w, p in zip(words, places) if p < 0]
+        self.known.update(zip(unseen, self.tk.merge(unseen)))
+        self.known.update(zip((w for w, _ in held), self.lex.ids_of([p for _, p in held])))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in cut]
+        return [np.frombuffer(b"".join(map(get, ws)), ID) for ws in cut]
 
 
 def encoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "text",

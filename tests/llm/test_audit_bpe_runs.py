@@ -162,7 +162,7 @@ def test_the_automaton_is_minimal_and_numbers_words_in_order():
     assert len(used) == len(ends)
     lex = bpe.Lexicon(bpe.compiled([(w, [i, i + 1]) for i, w in enumerate(words)]))
     assert lex.places(words).tolist() == list(range(len(words)))
-    assert [lex.ids_of(i).tolist() for i in (0, 7)] == [[0, 1], [7, 8]]
+    assert [np.frombuffer(x, "<i4").tolist() for x in lex.ids_of([0, 7])] == [[0, 1], [7, 8]]
     others = [w + b"z" for w in words] + [b"", b"zz"] + [
         w[:-1] for w in words if w[:-1] not in set(words)]
     assert set(lex.places(others).tolist()) == {-1}
@@ -172,9 +172,22 @@ def test_the_automaton_is_minimal_and_numbers_words_in_order():
 def test_both_ways_of_merging_agree():
     tk = bpe.tokenizer()
     rng = random.Random(7)
-    for _ in range(300):
-        symbols = [tk.symbol[rng.choice(b"aabeinrst ")] for _ in range(rng.randint(1, 60))]
-        assert tk._searched(list(symbols)) == tk._queued(list(symbols))
+    words = ["".join(rng.choice("aabeinrst ") for _ in range(rng.randint(0, 32))) for _ in range(500)]
+    words += ["<|endoftext|>", "é" * 16, "x" * 33, ""]
+    for w, ids in zip(words, tk.merge(words)):
+        want = tk._queued([tk.symbol[b] for b in w.encode()])
+        assert np.frombuffer(ids, "<i4").tolist() == ([50256] if w == "<|endoftext|>" else want)
+    assert tk.merge([]) == []
+
+
+def test_the_lexicon_holds_the_most_frequent_words(spark):
+    docs = spark.createDataFrame([(i, "aa bb" + " cc" * 5 + " dd" * 3 + " ee" * (i > 0)) for i in range(3)]
+                                 + [(9, "x" * 40 + " once")], "doc_id long, text string")
+    words = [b"aa", b" bb", b" cc", b" dd", b" ee", b" once", b"x" * 40]
+    for limit, held in ((100, 5), (4, 4), (3, 2), (1, 1), (0, 0)):
+        places = bpe.Lexicon(bpe.lexicon(docs, limit=limit)).places(words).tolist()
+        assert sum(p >= 0 for p in places) == held
+        assert not held or places[2] >= 0
 
 
 def test_words_are_cut_as_the_tokenizer_cuts_every_character():
