@@ -307,13 +307,15 @@ def reconcile(
     target_bank: str | None = None,
     bank_column: str = BANK_COLUMN,
     job_id: int | None = None,
+    replace_job: bool = False,
     created_at: datetime | None = None,
     **detection,
 ) -> Run:
     """Match, compare and store one pair of files.
 
     Results are written once; totals, discrepancies and the report are then read from
-    the stored table instead of repeating the join.
+    the stored table instead of repeating the join. The job is seen by others when it is finished;
+    a finished job of the same job_id is an error unless `replace_job` is set.
     """
     roles = roles or detect_roles(ledger, statement, **detection)
     money = store.money
@@ -335,19 +337,20 @@ def reconcile(
         if top is None:
             raise NoMatchingIds("No matching transaction IDs found between the files")
         target_bank = top["bank"]
-    job_id = store.next_job_id() if job_id is None else job_id
+    attempt = store.begin(job_id, replace_job)
+    job_id = attempt.job_id
 
     reconciled = m.reconcile_ids(m.of_bank(ours, target_bank), bank, with_records=True)
     rows = result_rows(reconciled, target_bank, created_at, roles.compare_amounts, money)
-    store.write(st.RESULTS, rows, job_id)
-    results = store.results().where(F.col("job_id") == job_id)
-    store.write(st.DISCREPANCIES, discrepancy_rows(results), job_id)
+    attempt.write(st.RESULTS, rows)
+    results = attempt.read(st.RESULTS)
+    attempt.write(st.DISCREPANCIES, discrepancy_rows(results))
     names = {
         "job_name": job_name, "our_file_name": our_file_name, "bank_file_name": bank_file_name,
     }
-    store.write(st.JOBS, job_rows(results, roles, created_at, names, target_bank), job_id)
-    job = store.jobs().where(F.col("job_id") == job_id)
-    discrepancies = _discrepancies(store, job_id)
+    attempt.write(st.JOBS, job_rows(results, roles, created_at, names, target_bank))
+    attempt.commit()
+    job, discrepancies = attempt.read(st.JOBS), attempt.read(st.DISCREPANCIES)
     return Run(
         job_id, target_bank, roles, job, results, discrepancies, matches,
         stored.report_lines(job, results, discrepancies, live=True),

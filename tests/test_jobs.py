@@ -105,13 +105,15 @@ def test_export_of_a_stored_job(spark, job):
 def test_a_repeated_job_leaves_no_duplicates(spark, job):
     store, run, d = job
     rc.reconcile_files(spark, str(d / "our.csv"), str(d / "bank.csv"), store,
-                       job_name="first", job_id=run.job_id, keywords=kw.seed_keywords(spark))
+                       job_name="first", job_id=run.job_id, replace_job=True,
+                       keywords=kw.seed_keywords(spark))
     assert store.results().where(F.col("job_id") == run.job_id).count() == 5
     assert store.jobs().where(F.col("job_id") == run.job_id).count() == 1
     assert store.next_job_id() == run.job_id + 1
     equal = write(d / "equal.csv", BANK.replace("1500.60", "1500.50"))
     rc.reconcile_files(spark, str(d / "our.csv"), equal, store,
-                       job_name="first", job_id=run.job_id, keywords=kw.seed_keywords(spark))
+                       job_name="first", job_id=run.job_id, replace_job=True,
+                       keywords=kw.seed_keywords(spark))
     assert store.discrepancies().where(F.col("job_id") == run.job_id).count() == 0
     dump(store, str(d / "dump"))
     assert spark.read.parquet(str(d / "dump" / "results")).count() == store.results().count()
@@ -277,3 +279,87 @@ def test_sample_of_leading_rows_equals_that_of_all(spark, tmp_path):
     plan = sampled(one, "f")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<late:string,none:string,rare:string>" in plan
     assert "FileScan" not in sampled(short, "f")._jdf.queryExecution().executedPlan().toString()
+
+
+# --- commits ---
+
+def small(spark, rows):
+    schema = ("id long, bank_trx_id string, our_amount double, bank_amount double, "
+              "difference double, percentage_diff double, created_at timestamp_ntz")
+    return spark.createDataFrame([(i, t, 1.0, 2.0, 1.0, 1.0, None) for i, t in rows], schema)
+
+
+def staged(store, rows, **options):
+    attempt = store.begin(**options)
+    attempt.write("discrepancies", small(store.spark, rows))
+    return attempt
+
+
+def seen(store):
+    return sorted((r["job_id"], r["bank_trx_id"]) for r in store.discrepancies().collect())
+
+
+def test_jobs_that_start_together_keep_apart(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    assert seen(one) == [] and one.next_job_id() == 1
+    a, b = one.begin(), two.begin()
+    assert (a.job_id, b.job_id) == (1, 2)
+    for attempt, text in ((b, "B"), (a, "A")):
+        attempt.write("discrepancies", small(spark, [(1, text)]))
+    assert seen(one) == []                     # nothing is finished
+    b.commit()
+    before = two.discrepancies()
+    assert seen(one) == [(2, "B")]
+    a.commit()
+    assert seen(two) == [(1, "A"), (2, "B")] and before.count() == 1
+    assert two.next_job_id() == 3
+
+
+def test_numbers_taken_by_many_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path / "s"))
+    with ThreadPoolExecutor(8) as pool:
+        ids = [a.job_id for a in pool.map(lambda _: store.begin(), range(16))]
+    assert sorted(ids) == list(range(1, 17))
+
+
+def test_a_finished_job_is_replaced_only_if_asked(spark, tmp_path):
+    from ledgerloom.sources.store import JobExists
+
+    store = Store(spark, str(tmp_path / "s"))
+    staged(store, [(1, "old")], job_id=7).commit()
+    with pytest.raises(JobExists):
+        store.begin(7)
+    failed = staged(store, [(1, "lost")], job_id=7, replace=True)   # never committed
+    assert seen(store) == [(7, "old")]
+    new = staged(store, [(1, "new"), (2, "more")], job_id=7, replace=True)
+    new.commit()
+    assert seen(store) == [(7, "more"), (7, "new")]
+    with pytest.raises(JobExists):
+        failed.commit()                        # another attempt was first
+    assert seen(store) == [(7, "more"), (7, "new")] and store.next_job_id() == 8
+    first, second = store.begin(9), store.begin(9)
+    second.write("discrepancies", small(spark, [(1, "second")]))
+    second.commit()
+    with pytest.raises(JobExists):
+        first.commit()
+    assert seen(store)[-1] == (9, "second")
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from ledgerloom.sources.store import checkpoint_dir
+
+    def session(master):
+        made = []
+        context = Fake(getCheckpointDir=lambda: None, setCheckpointDir=made.append, master=master)
+        return Fake(sparkContext=context, conf=Fake(get=lambda k, d: d)), made
+
+    for master in ("local-cluster[3,2,1024]", "spark://h:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(session(master)[0])
+    for master in ("local", "local[8]", "local[*]"):
+        spark, made = session(master)
+        assert made == [checkpoint_dir(spark)]
