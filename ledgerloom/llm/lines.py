@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import heavy_keys
+
 from . import common as c
 
 MIN_WORDS = 5        # default of the operator, below which units stay; the query has no minimum
@@ -90,25 +92,26 @@ def digests(docs: DataFrame, text: str, separator: str, min_words: int) -> DataF
 
 
 def _repeats(found: DataFrame, share: float = HEAVY) -> DataFrame:
-    """Rows of found, a written table of digests(), that are not the first of their digest.
+    """Rows (row, unit, place) of found, a written table of digests(), that are not the first of
+    their digest.
 
-    A digest of at least `share` of all rows, of which there are at most 1 / share, is looked
-    up by broadcast where its rows are; all others meet their first by a shuffle, so that no
-    task gets more than that share for one digest.
+    Digests that may hold at least `share` of all rows, of which a sketch names no more than
+    1 / share, are reduced to their first where their rows are, and that is broadcast. All others
+    are sent once, to be numbered by rank, so that no task gets more than that share for one.
     """
-    rank = F.struct(F.col("key").isNull(), "key", "row", "place")
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    first = c.cut(first.where("n > 1").select(
-        "h1", "h2", F.col("first.row").alias("first_row"),
-        F.col("first.place").alias("first_place"), "n"))
-    least = found.count() * share
-    heavy = F.broadcast(first.where(F.col("n") >= F.lit(least)))
-    light = first.where(F.col("n") < F.lit(least)).hint("merge")
+    rank = [F.col("key").isNull(), F.col("key"), F.col("row"), F.col("place")]
     same = ["h1", "h2"]
-    found = found.drop("key")
-    both = found.join(heavy, same).unionByName(
-        found.join(heavy.select(*same), same, "left_anti").join(light, same))
-    return both.where("row <> first_row or place <> first_place")
+    heavy = F.broadcast(heavy_keys(found, "h1", share, min_rows=2))
+    here = found.join(heavy, "h1")
+    first = here.groupBy(*same).agg(F.min(F.struct(*rank)).alias("first"))
+    first = first.select(*same, F.col("first.row").alias("first_row"),
+                         F.col("first.place").alias("first_place"))
+    again = here.join(F.broadcast(first), same).where(
+        "row <> first_row or place <> first_place")
+    others = found.join(heavy, "h1", "left_anti").withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*same).orderBy(*rank))).where("nth > 1")
+    names = ["row", "unit", "place"]
+    return again.select(*names).unionByName(others.select(*names))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
