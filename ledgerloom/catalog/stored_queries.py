@@ -17,6 +17,7 @@ from ledgerloom.plans import training
 from ledgerloom.sources import files
 from ledgerloom.sources import keyword_files as kf
 
+from . import detection_queries as dq
 from . import tables
 from .detection_queries import (
     _HEADERS,
@@ -274,13 +275,43 @@ def train_eval(spark, sf):
     return training.train(long, labels(long, *AMOUNT_LABELS), "amount").metrics
 
 
+# A file of a layout that the detector has not learned: name and text of its columns.
+UNLEARNED = [("Kind", "o_orderstatus"), ("Amount due", "o_orderpriority"), ("Remark", "o_orderpriority")]
+
+
+def unlearned_file(spark: SparkSession, sf: str) -> DataFrame:
+    picked = ", ".join(f"{sql} AS `{name}`" for name, sql in UNLEARNED)
+    return pf.to_long(spark.sql(
+        f"SELECT 'odd_0.csv' AS file, o_orderkey AS ordinal, {picked} FROM {{orders}}",
+        orders=tables.read(spark, sf, "orders")))
+
+
 def learned_roles(spark, sf):
-    """Learned amount column per file, rules where the detector is unsure."""
-    long = training_files(spark, sf)
-    trained = training.train(long, labels(long, *AMOUNT_LABELS), "amount")
+    """Learned amount column per file, rules where the detector is unsure: by its table of
+    weights."""
+    known = training_files(spark, sf)
+    trained = training.train(known, labels(known, *AMOUNT_LABELS), "amount")
+    long = known.unionByName(unlearned_file(spark, sf))
     words = kw.detection_keywords(kw.seed_keywords(spark), "bank", spark)
     rules = rl.amount_scores(pf.column_profile(long), words, pf.headers(long))
-    return rl.cascade(trained.scores(long), rules).select("file", "position", "col", "source")
+    learned = learning.table_confidence(
+        learning.model_table(trained.model), training.FEATURES["amount"](long))
+    return rl.cascade(learned, rules).select("file", "position", "col", "source")
+
+
+# A detector of six weights, stated: feature, mean, standard deviation, weight; then the intercept.
+STATED = [
+    ("name_amt", 0.25, 0.5, 1.5), ("name_credit", 0.125, 0.25, 2.0), ("numeric_ratio", 0.5, 0.4, 1.25),
+    ("has_decimal", 0.3, 0.45, 0.75), ("near_date", 0.5, 0.5, -0.5), ("has_currency", 0.0, 0.0, 9.0),
+    (None, 0.0, 1.0, -1.5),
+]
+
+
+def linear_scores(spark, sf):
+    """Scores of a stated detector over the features of every column."""
+    table = spark.createDataFrame(STATED, "feature string, mean double, std double, weight double")
+    out = learning.table_confidence(table, dq.amount_features(spark, sf))
+    return out.withColumn("score", F.round("score", 6))
 
 
 QUERIES = {
@@ -290,7 +321,7 @@ QUERIES = {
         results_total, result_slice, report_sections, detail_sections, report_lines, stats_table,
         record_json, event_props, preview, column_policy, typed_columns, bank_name_class,
         keyword_import, keyword_rejects, keyword_export, label_check, split_counts, rule_metrics,
-        train_eval, learned_roles,
+        train_eval, learned_roles, linear_scores,
     )
 }
 
@@ -541,6 +572,23 @@ sizes AS (SELECT CAST(col = {_label(*AMOUNT_LABELS)} AS DOUBLE) AS label, count(
 cut AS (SELECT label, n, CAST(round(n * 0.2) AS BIGINT) AS k FROM sizes)
 SELECT label, false AS train, true AS test, k AS n FROM cut
 UNION ALL SELECT label, true, false, n - k FROM cut""",
+    # Every held-out column is told right, at any scale: the classes are apart.
+    "train_eval": _FILES + f""",
+sizes AS (SELECT col = {_label(*AMOUNT_LABELS)} AS label, CAST(round(count(*) * 0.2) AS BIGINT) AS k
+          FROM columns GROUP BY 1),
+held AS (SELECT sum(k) AS n, sum(k) FILTER (label) AS hits FROM sizes)
+SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS correct, CAST(hits AS BIGINT) AS true_positives,
+  CAST(hits AS BIGINT) AS predicted_positives, CAST(hits AS BIGINT) AS actual_positives,
+  1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1
+FROM held""",
+    "learned_roles": _FILES + f"""
+SELECT file, position, col, 'learned' AS source FROM columns
+WHERE col = {_label(*AMOUNT_LABELS)}
+UNION ALL SELECT 'odd_0.csv', 1, 'Amount due', 'rules'""",
+    "linear_scores": f"""SELECT file, CAST(position AS INTEGER) AS position, col, round(100.0 / (1.0 + exp(-(-1.5
+  + (name_amt - 0.25) / 0.5 * 1.5 + (name_credit - 0.125) / 0.25 * 2.0
+  + (numeric_ratio - 0.5) / 0.4 * 1.25 + (has_decimal - 0.3) / 0.45 * 0.75
+  + (near_date - 0.5) / 0.5 * -0.5))), 6) AS score FROM ({dq.ORACLES["amount_features"]})""",
     "rule_metrics": _FILES.replace("training AS", "files AS").replace(
         "FROM training", "FROM files"
     ) + _profile_ctes(100).replace("FROM long", "FROM files") + f""",

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.records import quoted
 from ledgerloom.operators.features import feature_names
 from ledgerloom.sources.files import base_name
 
@@ -104,6 +105,40 @@ def confidence(model: PipelineModel, features: DataFrame) -> DataFrame:
     )
 
 
+def model_table(model: PipelineModel) -> DataFrame:
+    """A fitted logistic detector as a table: (feature, mean, std, weight) by feature, and a row with
+    a null feature for the intercept. It can be stored, compared and scored by any SQL engine."""
+    assemble, scale, learner = model.stages
+    if not hasattr(learner, "coefficients"):
+        raise ValueError("only a logistic detector is linear")
+    rows = [(name, float(m), float(s), float(w)) for name, m, s, w in zip(
+        assemble.getInputCols(), scale.mean, scale.std, learner.coefficients)]
+    return SparkSession.active().createDataFrame(
+        [*rows, (None, 0.0, 1.0, float(learner.intercept))],
+        "feature string, mean double, std double, weight double")
+
+
+def score_expression(table: DataFrame) -> Column:
+    """The score in percent that a model_table gives a row of features, as one expression: nothing
+    is shuffled and no learned object is sent. The table has a row per feature. Features that did
+    not vary in training have no weight."""
+    rows = table.orderBy(F.col("feature").isNull(), "feature").collect()
+    total = F.lit(0.0)
+    for r in rows:
+        if r["feature"] is None:
+            total = total + F.lit(r["weight"])
+        elif r["std"] > 0:
+            value = (F.col(quoted(r["feature"])) - F.lit(r["mean"])) / F.lit(r["std"])
+            total = total + value * F.lit(r["weight"])
+    return F.lit(100.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def table_confidence(table: DataFrame, features: DataFrame) -> DataFrame:
+    """confidence() by a model_table."""
+    return features.select("file", F.col("position").cast("int").alias("position"), "col",
+                           score_expression(table).alias("score"))
+
+
 def predictions(model: PipelineModel, split_set: DataFrame) -> DataFrame:
     """(label, predicted) of the test rows."""
     scored = model.transform(split_set.where("test"))

@@ -225,6 +225,14 @@ def _fields_read(cells: list[str], sep: str) -> Column:
     return F.when(F.col(LINE).isNotNull(), n_fields(F.col(LINE), sep)).otherwise(F.size(read))
 
 
+def _line(cells: list[str], sep: str) -> Column:
+    """The line of a row with as many fields as cells, quoted where it has to be."""
+    special = lambda c: F.contains(c, F.lit(sep)) | c.rlike('["\\r\\n]')
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.array_join(F.transform(F.array(*[quoted(c) for c in cells]), lambda c: F.when(
+        special(c), quote(c)).otherwise(c)), sep, "")
+
+
 def _problem(line: Column, fields: Column, width: Column, sep: str) -> Column:
     """Why a row is bad, null if it is not; line is null if the fields are as many as were asked
     for. Rows with fewer fields than the header are not bad, their last cells are null."""
@@ -343,8 +351,7 @@ class CsvFiles:
         if not with_line:
             return rows.select(*out)
         rows = rows.select(*out, _fields_read([*cells, "more"], self.sep).alias("n_fields"),
-                           F.coalesce(LINE, F.array_join(
-                               F.array(*cells, "more"), self.sep, "")).alias(LINE))
+                           F.coalesce(LINE, _line([*cells, "more"], self.sep)).alias(LINE))
         return rows.withColumn("problem", _problem(
             F.col(LINE), F.col("n_fields"), F.size("names"), self.sep))
 

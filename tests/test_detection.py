@@ -379,3 +379,23 @@ def test_first_values_of_a_directory(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 9
+
+
+def test_the_table_of_a_detector_scores_as_the_detector(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"f{i % 20}", i % 4, f"c{i}", float(rng.normal()), float(i % 2), 5.0, float(i % 3 == 0))
+            for i in range(120)]
+    data = spark.createDataFrame(rows, "file string, position int, col string, a double, `b c` double, "
+                                       "same double, label double")
+    data = data.withColumns({"train": F.lit(True), "test": F.lit(True)})
+    model = learning.fit(data)
+    learning.model_table(model).write.parquet(f"{tmp_path}/model")
+    table = spark.read.parquet(f"{tmp_path}/model")
+    assert {r["feature"] for r in table.collect()} == {"position", "a", "b c", "same", None}
+    plain = {r["col"]: r["score"] for r in learning.confidence(model, data).collect()}
+    got = {r["col"]: r["score"] for r in learning.table_confidence(table, data).collect()}
+    assert got == pytest.approx(plain, abs=1e-9)
+    plan = plan_of(learning.table_confidence(table, data))
+    assert "Exchange" not in plan and "Python" not in plan
+    with pytest.raises(ValueError):
+        learning.model_table(learning.fit(data, "gbt", 2))
