@@ -30,7 +30,7 @@ from . import common as c
 TOKENIZER = "byte_bpe_50k.json"
 LEXICON = 1 << 16    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
-KNOWN = 400_000      # words whose ids, or counts, a task keeps before it starts anew
+KNOWN = 400_000      # pieces whose ids, or counts, a task keeps before it starts anew
 EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
 CHUNK = 1 << 21      # code points encoded at once
 ID = "<i4"
@@ -75,21 +75,28 @@ class Tokenizer:
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
 
-    def words(self, text: str) -> list[str]:
-        """The pattern's words, and special tokens as they are spelled, in order."""
+    def pieces(self, text: str) -> list[str]:
+        """The text in pieces, special tokens as pieces of their own. It is cut where a space
+        follows something that is not white space: the pattern never joins characters across such
+        a place, so the words of the text are those of its pieces in a row."""
+        if not self.specials.search(text):
+            return _at_spaces(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += self._ordinary(text[at:m.start()])
-            out.append(m[0])
+            out += [*_at_spaces(text[at:m.start()]), m[0]]
             at = m.end()
-        return out + self._ordinary(text[at:]) if out else self._ordinary(text)
-
-    def _ordinary(self, text: str) -> list[str]:
-        """Code points that this Python has no category for may have another one in the pattern's
-        library than in the tokenizer's; texts that hold any are cut by the tokenizer's own."""
-        if self.beyond.search(text) and any(unicodedata.category(ch) == "Cn" for ch in set(text)):
-            return [text[s:e] for _, (s, e) in self.cutter.pre_tokenize_str(text)]
-        return self.words_of(text)
+        return out + _at_spaces(text[at:])
+
+    def words(self, piece: str) -> list[str]:
+        """The pattern's words of a piece. Code points that this Python has no category for may
+        have another one in the pattern's library than in the tokenizer's; pieces that hold any are
+        cut by the tokenizer's own."""
+        if piece in self.special:
+            return [piece]
+        if not piece.isascii() and self.beyond.search(piece) and any(
+                unicodedata.category(ch) == "Cn" for ch in piece):
+            return [piece[s:e] for _, (s, e) in self.cutter.pre_tokenize_str(piece)]
+        return self.words_of(piece)
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes (ID): of all its neighbouring symbols the pair of the lowest
@@ -184,6 +191,18 @@ class Tokenizer:
         return found.decode("utf-8", "replace")
 
 
+def _at_spaces(text: str) -> list[str]:
+    if _SPACES.search(text):
+        cut = _AFTER_TEXT.split(text)
+    else:
+        cut = text.split(" ")
+    return [cut[0], *[" " + p for p in cut[1:]]]
+
+
+_SPACES = re.compile(r"\s ")             # every space here is cut at unless it follows white space
+_AFTER_TEXT = re.compile(r"(?<=\S) ")
+
+
 def tokenizer(path: str | None = None) -> Tokenizer:
     """The tokenizer of this process; path names its file."""
     import public_tokenizers
@@ -341,19 +360,23 @@ def word_counts(docs: DataFrame, text: str = "text", path: str | None = None) ->
     """(word, n) over all rows of docs, words of up to LONGEST bytes. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, counts = tokenizer(path), Counter()
+        tk, pieces = tokenizer(path), Counter()
 
         def told() -> pa.RecordBatch:
+            counts = Counter()
+            for piece, n in pieces.items():
+                for w in tk.words(piece):
+                    counts[w] += n
             return pa.RecordBatch.from_arrays(
                 [pa.array([w.encode("utf-8", "replace") for w in counts], pa.binary()),
                  pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for _, texts in _chunks(batches):
             for t in texts:
-                counts.update(tk.words(t))
-            if len(counts) > KNOWN:
+                pieces.update(tk.pieces(t))
+            if len(pieces) > KNOWN:
                 yield told()
-                counts.clear()
+                pieces.clear()
         yield told()
 
     rows = docs.select(F.lit(0).alias("key"), F.col(text).cast("binary").alias("text"))
@@ -388,27 +411,34 @@ def lexicon(docs: DataFrame, text: str = "text", limit: int = LEXICON, path: str
 # --- encoding and decoding ------------------------------------------------------------------
 
 class Encoder:
-    """Ids of texts, remembering those of words."""
+    """Ids of texts, remembering those of their pieces."""
 
     def __init__(self, tk: Tokenizer, lex: Lexicon):
         self.tk, self.lex = tk, lex
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.tk.words(t) for t in texts]
+        cut = [self.tk.pieces(t) for t in texts]
         used = set().union(*cut)
         new = used - self.known.keys()
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = used
-        words = list(new)
+        spelled = [(piece, self.tk.words(piece)) for piece in new]
+        ids = self._ids_of(list({w for _, words in spelled for w in words}))
+        for piece, words in spelled:
+            self.known[piece] = b"".join([ids[w] for w in words])
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, pieces)), ID) for pieces in cut]
+
+    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words: the lexicon's, or those that merging gives."""
         places = self.lex.places([w.encode("utf-8", "replace") for w in words]).tolist()
         held = [(w, p) for w, p in zip(words, places) if p >= 0]
         unseen = [w for w, p in zip(words, places) if p < 0]
-        self.known.update(zip(unseen, self.tk.merge(unseen)))
-        self.known.update(zip((w for w, _ in held), self.lex.ids_of([p for _, p in held])))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), ID) for ws in cut]
+        out = dict(zip(unseen, self.tk.merge(unseen)))
+        out.update(zip((w for w, _ in held), self.lex.ids_of([p for _, p in held])))
+        return out
 
 
 def encoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "text",

@@ -201,7 +201,19 @@ def test_words_are_cut_as_the_tokenizer_cuts_every_character():
     for at in range(0, len(points), 4000):
         text = "".join(f"a{chr(p)}1{chr(p)}!{chr(p)} {chr(p)} " for p in points[at:at + 4000])
         want = [text[s:e] for _, (s, e) in cutter.pre_tokenize_str(text)]
-        assert own.words(text) == want
+        assert [w for piece in own.pieces(text) for w in own.words(piece)] == want
+
+
+def test_pieces_hold_the_words_of_the_text():
+    from tokenizers import pre_tokenizers
+
+    own, cutter = bpe.tokenizer(), pre_tokenizers.ByteLevel(add_prefix_space=False)
+    rng = random.Random(11)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab1!' \n\t\x1c\x85\xa0\u3000é東") for _ in range(rng.randint(0, 30)))
+        want = [text[s:e] for _, (s, e) in cutter.pre_tokenize_str(text)]
+        assert "".join(own.pieces(text)) == text
+        assert [w for piece in own.pieces(text) for w in own.words(piece)] == want
 
 
 # --- periodic runs ---
