@@ -76,46 +76,29 @@ def statement_id_scores(profile: DataFrame) -> DataFrame:
     return profile.select(*COLUMN, score.alias("score"))
 
 
-def _parts(c: Column) -> Column:
-    """Every distinct substring of a header."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(
-                        F.lit(1),
-                        F.greatest(F.length(c) - i + 1, F.lit(1)),
-                    ),
-                    lambda n: F.substring(c, i, n),
-                ),
-            )
-        )
-    )
+def _parts(c: Column, lengths: Column) -> Column:
+    """The distinct substrings of a header of these lengths; an empty header is its own."""
+    chars, size = F.split(c, ""), F.length(c)
+    fitting = F.filter(lengths, lambda n: (n > 0) & (n <= size))
+    cut = lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    none = F.array().cast("array<string>")
+    return F.when(size == 0, F.array(F.lit(""))).otherwise(
+        F.coalesce(F.array_distinct(F.flatten(F.transform(fitting, cut))), none))
 
 
 def keyword_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
     """Keywords found in each distinct header `col`, with kind and tenths of points.
 
     "Header contains keyword" is turned into an equi-join: the substrings of each
-    distinct header are joined to the keyword texts, so neither table is scanned per
-    row of the other and neither has to be small.
+    distinct header, of the lengths that keywords have, are joined to the keyword texts, so
+    neither table is scanned per row of the other and neither has to be small.
     """
     word = ["keyword", "priority", "is_exact_match"]
     clean = clean_header(F.col("keyword")).alias("clean")
     texts = names.select("col").distinct().select(
         "col", lower_header(F.col("col")).alias("lower"), clean_header(F.col("col")).alias("bare")
     )
-    # Both readings of a header and of a keyword, as written and without separators,
-    # meet in one join; `plain` keeps the two apart.
-    forms = F.array(
-        F.struct(F.lit(True).alias("plain"), _parts(F.col("lower")).alias("parts")),
-        F.struct(F.lit(False).alias("plain"), _parts(F.col("bare")).alias("parts")),
-    )
-    parts = texts.select("col", "lower", "bare", F.inline(forms)).select(
-        "col", "lower", "bare", "plain", F.explode("parts").alias("part")
-    )
     words = keywords.select(
         *word,
         clean,
@@ -126,6 +109,18 @@ def keyword_matches(names: DataFrame, keywords: DataFrame) -> DataFrame:
             )
         ),
     )
+    # Two rows, as many numbers as there are lengths of keywords.
+    lengths = words.groupBy("plain").agg(F.collect_set(F.length("part")).alias("lengths"))
+    # Both readings of a header and of a keyword, as written and without separators,
+    # meet in one join; `plain` keeps the two apart.
+    forms = F.array(
+        F.struct(F.lit(True).alias("plain"), F.col("lower").alias("text")),
+        F.struct(F.lit(False).alias("plain"), F.col("bare").alias("text")),
+    )
+    parts = texts.select("col", "lower", "bare", F.inline(forms)).join(
+        F.broadcast(lengths), "plain").select(
+        "col", "lower", "bare", "plain", F.explode(_parts(F.col("text"), F.col("lengths"))).alias("part")
+    )
     # A keyword found in both forms is one match.
     found = parts.join(words, ["plain", "part"]).where(
         F.col("plain") | ~F.col("lower").contains(F.col("keyword"))

@@ -399,3 +399,20 @@ def test_the_table_of_a_detector_scores_as_the_detector(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan
     with pytest.raises(ValueError):
         learning.model_table(learning.fit(data, "gbt", 2))
+
+
+def test_keywords_in_a_very_long_header(spark):
+    """Only substrings of the keywords' lengths are cut: 10,000 characters, not 50 million pairs."""
+    words = spark.createDataFrame(
+        [("amount", 90, False), ("paid_amt", 80, True), ("x" * 300, 70, False), ("", 5, False)],
+        "keyword string, priority int, is_exact_match boolean")
+    long = "z" * 5000 + "Paid Amt" + "é" * 4000 + "AMOUNT" + "x" * 986
+    names = spark.createDataFrame([(long,), ("Amount",), ("",), ("am",)], "col string")
+    matches = rl.keyword_matches(names, words)
+    got = {(r["col"], r["keyword"]) for r in matches.collect()}
+    assert {k for c, k in got if c == long} >= {"amount", "x" * 300}
+    assert ("Amount", "amount") in got and not [k for c, k in got if c == "am" and k]
+    text = "x" * 10_000
+    cut = spark.createDataFrame([(text, [6, 300, 20_000, 0])], "c string, n array<int>").select(
+        F.size(rl._parts(F.col("c"), F.col("n")))).first()[0]
+    assert cut == 2
