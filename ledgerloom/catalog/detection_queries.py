@@ -64,7 +64,23 @@ def _profile_output(profile: DataFrame) -> DataFrame:
 
 
 def column_profile(spark, sf):
-    return _profile_output(pf.column_profile(long_table(spark, sf), sample=None))
+    return _profile_output(pf.column_profile(
+        long_table(spark, sf), sample=None, approximate_distinct=False))
+
+
+def column_profile_merged(spark, sf):
+    """Whole columns over all files of a layout, from the parts of each file: counts as they are,
+    distinct values within three percent of the exact number."""
+    long = long_table(spark, sf)
+    parts = pf.merged_parts(pf.profile_parts(long), "position", "n_cols", "col")
+    exact = long.groupBy("position", "n_cols", "col").agg(F.count_distinct("val").alias("exact"))
+    out = pf.profile_of(parts).join(exact, ["position", "n_cols", "col"])
+    mean = F.when(F.abs("mean_value") < 1e9, F.round("mean_value", 4))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.03
+    return out.select(
+        "position", "n_cols", "col", "n_parts", "non_null", "non_empty", "length_sum", "n_numeric",
+        "n_positive", mean.alias("mean_value"), F.col("exact").alias("n_distinct"),
+        near.alias("sketch_is_near"))
 
 
 def column_profile_sample(spark, sf):
@@ -195,7 +211,8 @@ def keywords_changed(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        column_profile, column_profile_sample, id_role_ours, id_role_bank, amount_role, role_best,
+        column_profile, column_profile_merged, column_profile_sample, id_role_ours, id_role_bank,
+        amount_role, role_best,
         role_top3, role_decision, keyword_scores, neighbour_context, id_features,
         amount_features, amount_candidates, header_listing, keywords_list, keywords_search,
         keyword_counts, keywords_validate, keywords_changed,
@@ -541,6 +558,14 @@ _GOOD = f"""length({_clean('keyword')}) > 0 AND length(keyword) <= 100
 ORACLES = {
     "column_profile": over_long(_profile_ctes(None), _PROFILE_SELECT),
     "column_profile_sample": over_long(_profile_ctes(100), _PROFILE_SELECT),
+    "column_profile_merged": over_long("", f"""
+SELECT position, n_cols, col, count(DISTINCT file) AS n_parts, count(val) AS non_null,
+  count(*) FILTER (lower(val) NOT IN ('nan','none','null') AND trim(val) <> '') AS non_empty,
+  CAST(coalesce(sum(length(trim(val))), 0) AS BIGINT) AS length_sum,
+  count({_number('val')}) AS n_numeric, count(*) FILTER ({_number('val')} > 0) AS n_positive,
+  CASE WHEN abs(avg({_number('val')})) < 1e9 THEN round(avg({_number('val')}), 4) END AS mean_value,
+  count(DISTINCT val) AS n_distinct, true AS sketch_is_near
+FROM long GROUP BY position, n_cols, col"""),
     "id_role_ours": over_long(
         _profile_ctes(100),
         f"SELECT file, position, col, {_our_id_score()} AS score FROM profile"

@@ -25,6 +25,7 @@ from ledgerloom.sources.store import checkpoint_dir
 COLUMN = ["file", "position", "col"]
 HEADER = [*COLUMN, "n_cols"]
 SAMPLE_ROWS = 100
+SKETCH = 14          # binary logarithm of a sketch's registers
 SLACK = 4            # leading rows looked at for each value of a sample
 
 
@@ -188,7 +189,7 @@ def _measures(distinct: Column) -> list[Column]:
     return [
         F.count("val").alias("non_null"),
         F.count_if(filled).alias("non_empty"),
-        distinct.alias("n_distinct"),
+        distinct,
         F.coalesce(F.sum("length"), F.lit(0)).alias("length_sum"),
         F.count(number).alias("n_numeric"),
         F.count_if(number > 0).alias("n_positive"),
@@ -196,22 +197,9 @@ def _measures(distinct: Column) -> list[Column]:
     ]
 
 
-def column_profile(
-    long: DataFrame, sample: int | None = SAMPLE_ROWS, *, approximate_distinct: bool = False
-) -> DataFrame:
-    """Profile of every column over its first `sample` values, or over all of them.
-
-    Counting distinct values of whole columns exactly shuffles them once, by column and
-    value, so a large column is not one task's work; `approximate_distinct` avoids even that.
-    """
-    cells = first_cells(long, sample) if sample else long
-    v = F.col("val")
-    cells = cells.withColumns({"number": parse_number(v), "length": F.length(strip(v))})
-    distinct = (
-        F.approx_count_distinct("val") if approximate_distinct else F.count_distinct("val")
-    )
+def _rated(profile: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return cells.groupBy(*HEADER).agg(*_measures(distinct)).select(
+    return profile.select(
         "*",
         ratio("n_distinct", "non_empty").alias("uniqueness"),
         ratio("length_sum", "non_null").alias("mean_length"),
@@ -220,6 +208,55 @@ def column_profile(
     )
 
 
+def column_profile(
+    long: DataFrame, sample: int | None = SAMPLE_ROWS, *, approximate_distinct: bool | None = None
+) -> DataFrame:
+    """Profile of every column over its first `sample` values, or over all of them.
+
+    Distinct values of a sample are counted. Those of whole columns are estimated by a sketch of
+    fixed size for each column, about one percent off, unless `approximate_distinct` is False:
+    counting them shuffles the columns once, by column and value, so that a large one is not one
+    task's work.
+    """
+    if approximate_distinct is None:
+        approximate_distinct = not sample
+    cells = first_cells(long, sample) if sample else long
+    if approximate_distinct:
+        return profile_of(profile_parts(cells))
+    return _rated(_measured(cells).groupBy(*HEADER).agg(*_measures(F.count_distinct("val").alias("n_distinct"))))
+
+
+def _measured(cells: DataFrame) -> DataFrame:
+    v = F.col("val")
+    return cells.withColumns({"number": parse_number(v), "length": F.length(strip(v))})
+
+
+def profile_parts(long: DataFrame) -> DataFrame:
+    """A profile of every column in a form that can be merged: counts, sums and a sketch of its
+    distinct values. It may be stored, so that new files of a directory are profiled alone."""
+    sketch = F.hll_sketch_agg("val", SKETCH).alias("sketch")
+    return _measured(long).groupBy(*HEADER).agg(
+        *_measures(sketch), F.coalesce(F.sum("number"), F.lit(0.0)).alias("number_sum")
+    ).drop("mean_value")
+
+
+def merged_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """profile_parts of several files as one, by other columns than the file: those of a header
+    over a whole directory, for example."""
+    counts = ["non_null", "non_empty", "length_sum", "n_numeric", "n_positive", "number_sum"]
+    return parts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_parts"), *[F.sum(c).alias(c) for c in counts],
+        F.hll_union_agg("sketch").alias("sketch"))
+
+
+def profile_of(parts: DataFrame) -> DataFrame:
+    """The profile that parts, merged or not, make."""
+    counted = parts.withColumns({
+        "n_distinct": F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)),
+        "mean_value": F.when(F.col("n_numeric") > 0, F.col("number_sum") / F.col("n_numeric"))})
+    return _rated(counted.drop("sketch", "number_sum"))
+
+
 # Words that make a header an amount candidate.
 CANDIDATE_WORDS = [
     "paid amt", "amount", "amt", "credit", "payment", "value",

@@ -416,3 +416,22 @@ def test_keywords_in_a_very_long_header(spark):
     cut = spark.createDataFrame([(text, [6, 300, 20_000, 0])], "c string, n array<int>").select(
         F.size(rl._parts(F.col("c"), F.col("n")))).first()[0]
     assert cut == 2
+
+
+def test_whole_columns_are_sketched_and_merge(spark):
+    rows = [("a", i, f"{i % 700}", "x" if i % 2 else None) for i in range(4000)] + [
+        ("b", i, f"{i % 900}", None) for i in range(3000)]
+    long = pf.to_long(spark.createDataFrame(rows, "file string, ordinal long, n string, t string"))
+    exact = {(r["file"], r["col"]): r for r in pf.column_profile(
+        long, None, approximate_distinct=False).collect()}
+    for r in pf.column_profile(long, None).collect():
+        want = exact[r["file"], r["col"]]
+        assert abs(r["n_distinct"] - want["n_distinct"]) <= 0.02 * want["n_distinct"]
+        assert [r[c] for c in ("non_null", "non_empty", "n_numeric", "mean_value")] == pytest.approx(
+            [want[c] for c in ("non_null", "non_empty", "n_numeric", "mean_value")])
+    parts = pf.profile_parts(long.where("file = 'a'")).unionByName(
+        pf.profile_parts(long.where("file = 'b'")))
+    both = {r["col"]: r for r in pf.profile_of(pf.merged_parts(parts, "position", "col")).collect()}
+    assert both["n"]["non_null"] == 7000 and abs(both["n"]["n_distinct"] - 900) <= 18
+    assert (both["t"]["n_distinct"], both["t"]["mean_value"]) == (1, None)
+    assert "Expand" not in plan_of(pf.column_profile(long, None))
