@@ -16,27 +16,69 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-# Phrases of the base scan, and openings of well-known licence notices.
+# Phrases of the base scan, and texts of well-known licences: the whole of those that
+# files carry whole, and of the others the whole notice that files carry instead.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 TEMPLATES = {
     "mit": """permission is hereby granted free of charge to any person obtaining a copy of this
         software and associated documentation files the software to deal in the software without
         restriction including without limitation the rights to use copy modify merge publish
-        distribute sublicense and or sell copies of the software""",
+        distribute sublicense and or sell copies of the software and to permit persons to whom the
+        software is furnished to do so subject to the following conditions the above copyright
+        notice and this permission notice shall be included in all copies or substantial portions
+        of the software the software is provided as is without warranty of any kind express or
+        implied including but not limited to the warranties of merchantability fitness for a
+        particular purpose and noninfringement in no event shall the authors or copyright holders
+        be liable for any claim damages or other liability whether in an action of contract tort
+        or otherwise arising from out of or in connection with the software or the use or other
+        dealings in the software""",
     "apache": """licensed under the apache license version 2 0 the license you may not use this
         file except in compliance with the license you may obtain a copy of the license at
         http www apache org licenses license 2 0 unless required by applicable law or agreed to
-        in writing software distributed under the license is distributed on an as is basis""",
+        in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license
+        for the specific language governing permissions and limitations under the license""",
     "gpl": """this program is free software you can redistribute it and or modify it under the
         terms of the gnu general public license as published by the free software foundation
-        either version 3 of the license or at your option any later version""",
+        either version 3 of the license or at your option any later version this program is
+        distributed in the hope that it will be useful but without any warranty without even the
+        implied warranty of merchantability or fitness for a particular purpose see the gnu
+        general public license for more details you should have received a copy of the gnu
+        general public license along with this program if not see https www gnu org licenses""",
     "bsd": """redistribution and use in source and binary forms with or without modification are
-        permitted provided that the following conditions are met redistributions of source code
+        permitted provided that the following conditions are met 1 redistributions of source code
         must retain the above copyright notice this list of conditions and the following
-        disclaimer""",
+        disclaimer 2 redistributions in binary form must reproduce the above copyright notice this
+        list of conditions and the following disclaimer in the documentation and or other
+        materials provided with the distribution 3 neither the name of the copyright holder nor
+        the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission this software is provided by the
+        copyright holders and contributors as is and any express or implied warranties including
+        but not limited to the implied warranties of merchantability and fitness for a particular
+        purpose are disclaimed in no event shall the copyright holder or contributors be liable
+        for any direct indirect incidental special exemplary or consequential damages including
+        but not limited to procurement of substitute goods or services loss of use data or profits
+        or business interruption however caused and on any theory of liability whether in contract
+        strict liability or tort including negligence or otherwise arising in any way out of the
+        use of this software even if advised of the possibility of such damage""",
     "isc": """permission to use copy modify and or distribute this software for any purpose with
         or without fee is hereby granted provided that the above copyright notice and this
-        permission notice appear in all copies""",
+        permission notice appear in all copies the software is provided as is and the author
+        disclaims all warranties with regard to this software including all implied warranties of
+        merchantability and fitness in no event shall the author be liable for any special direct
+        indirect or consequential damages or any damages whatsoever resulting from loss of use
+        data or profits whether in an action of contract negligence or other tortious action
+        arising out of or in connection with the use or performance of this software""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event
+        will the authors be held liable for any damages arising from the use of this software
+        permission is granted to anyone to use this software for any purpose including commercial
+        applications and to alter it and redistribute it freely subject to the following
+        restrictions 1 the origin of this software must not be misrepresented you must not claim
+        that you wrote the original software if you use this software in a product an
+        acknowledgment in the product documentation would be appreciated but is not required 2
+        altered source versions must be plainly marked as such and must not be misrepresented as
+        being the original software 3 this notice may not be removed or altered from any source
+        distribution""",
     "mpl": """this source code form is subject to the terms of the mozilla public license v 2 0 if
         a copy of the mpl was not distributed with this file you can obtain one at http mozilla
         org mpl 2 0""",
@@ -45,7 +87,9 @@ TEMPLATES = {
 }
 LONG = 5        # words of a match worth chaining
 SLACK = 12      # words of the file that a chain may skip between two matches
-COVER = 0.5     # share of a template that makes its label
+PASSAGE = 20    # covered words that make a label
+COVER = 0.5     # share of a template that makes one if that is less
+FULL = 40       # covered words, or a whole template, that score 1
 
 _TO_WORDS = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
@@ -187,19 +231,31 @@ class Scanner:
         base = self.base(words)
         places = np.sort(np.concatenate(list(base.values())))
         spans = self.spans(words)
-        best: dict[int, float] = {}
-        for t, _, _, n in spans:
-            best[t] = max(best.get(t, 0.0), min(1.0, n / self.sizes[t]))
+        best = max((n / min(self.sizes[t], FULL) for t, _, _, n in spans), default=0.0)
+        passages = self.passages(spans)
         base_labels = sorted(k for k, v in base.items() if len(v))
-        labels = sorted({*base_labels, *(self.names[t] for t, s in best.items() if s >= COVER)})
+        labels = sorted({*base_labels, *(self.names[t] for t, *_ in passages)})
         return {
             "n_words": len(found), "n_base": len(places),
             "first_word": int(places[0]) if len(places) else None,
             "last_word": int(places[-1]) if len(places) else None,
             "base_labels": ",".join(base_labels), "labels": ",".join(labels),
-            "score": 1.0 if base_labels else max(best.values(), default=0.0),
-            "spans": ",".join(f"{self.names[t]}:{s}:{e}" for t, s, e, n in spans
-                              if n / self.sizes[t] >= COVER)}
+            "score": 1.0 if base_labels else min(1.0, best),
+            "spans": ",".join(f"{self.names[t]}:{s}:{e}" for t, s, e, _ in passages)}
+
+    def passages(self, spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Spans that are long enough, whichever part of a template they hold. Licences share
+        passages: of spans that overlap, only those with the most covered words are kept."""
+        long = sorted((x for x in spans if x[3] >= min(PASSAGE, COVER * self.sizes[x[0]])),
+                      key=lambda x: x[1:])
+        kept = [True] * len(long)
+        for i, (_, _, end, n) in enumerate(long):
+            j = i + 1
+            while j < len(long) and long[j][1] < end:   # one of each template at most, and a few
+                kept[i] &= n >= long[j][3]
+                kept[j] &= long[j][3] >= n
+                j += 1
+        return sorted(x for x, k in zip(long, kept) if k)
 
 
 _SCHEMA = ("id long, n_words long, n_base long, first_word long, last_word long, "
@@ -210,9 +266,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
          templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
 
-    Null and empty texts have no words, places or labels, and score 0. Repeated rows come back
-    as often as they came. A base phrase scores 1, else the best share of a template covered.
-    spans are label:start:end in words, of templates covered by half at least.
+    Null and empty texts have no words, places or labels, and score 0. Rows are independent:
+    repeated ones come back as often as they came, keys may be null or shared, and a very long text
+    is scanned whole in one task. Other columns of docs are left out, whatever their names. A base
+    phrase scores 1, else the longest passage by FULL words, or by its template if that is shorter.
+    spans are label:start:end in words, of passages() of any part of a template.
     """
     tag = hashlib.md5(repr(sorted(templates.items())).encode()).hexdigest()
 

@@ -658,3 +658,30 @@ def test_pipeline_stages(spark, odd, tmp_path):
 
 def test_pipeline_of_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_any_part_of_a_licence_is_labelled(name):
+    words = licenses.TEMPLATES[name].split()
+    n = len(words)
+    parts = [words] if n < 40 else [words[:n // 2], words[n // 4:3 * n // 4], words[n // 2:],
+                                    words[-30:]]
+    for part in parts:
+        text = "int main; " + " ".join(part).upper() + ". other words here"
+        got = licenses.Scanner().scan(text)
+        assert name in got["labels"].split(",")
+        if not got["base_labels"]:
+            assert got["labels"] == name and got["score"] >= 0.5
+        spans = [x.split(":") for x in got["spans"].split(",")]
+        assert spans[0][0] == name and int(spans[0][1]) <= 4 and int(spans[0][2]) >= len(part)
+    few = licenses.Scanner().scan("x " + " ".join(words[:4]) + " y")
+    assert few["labels"] == few["base_labels"] and few["spans"] == ""
+
+
+def test_passages_of_two_licences_and_changed_words():
+    mit, bsd = (licenses.TEMPLATES[k].split() for k in ("mit", "bsd"))
+    changed = [("zz" if i % 17 == 9 else w) for i, w in enumerate(bsd)]
+    got = licenses.Scanner().scan(" ".join(["a"] * 7 + mit[90:] + ["b"] * 20 + changed))
+    assert got["labels"] == "bsd,mit" and got["base_labels"] == ""
+    starts = {x.split(":")[0]: int(x.split(":")[1]) for x in got["spans"].split(",")}
+    assert starts == {"mit": 7, "bsd": 7 + len(mit) - 90 + 20}
