@@ -139,6 +139,31 @@ def dumped_results(spark, sf):
     )
 
 
+def exported_rows(spark, sf):
+    """Every row of both sides of an exported stored job, with its status."""
+    store, run = _job(spark, sf)
+    paths = rc.export_job(
+        store, run.job_id, run_folder(spark), bank_column="paying_bank_name"
+    )
+    sides = [
+        files.read_csv(spark, path).select(
+            F.lit(name).alias("side"), F.col("row_id").cast("long").alias("row_id"),
+            F.col(trx).alias("trx"), F.col(f"`{rc.STATUS_COLUMN}`").alias("status"))
+        for name, path, trx in zip(
+            ("our", "bank"), paths, ("bank_trx_id", "transaction_id"))
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def dumped_rows(spark, sf):
+    """Rows of the dumped results."""
+    store, _ = _job(spark, sf)
+    folder = run_folder(spark)
+    dump(store, folder)
+    return spark.read.parquet(os.path.join(folder, "results")).select(
+        "job_id", "bank_trx_id", "bank_trx_id_display", "status", "our_amount", "bank_amount")
+
+
 def keyword_file(spark, sf):
     """Keywords written to a file and imported again."""
     folder = run_folder(spark)
@@ -150,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         csv_directory, csv_ledger, file_encodings, header_lines, stored_job, stored_results,
-        stored_discrepancies, exported_job, dumped_results, keyword_file,
+        stored_discrepancies, exported_job, exported_rows, dumped_results, dumped_rows, keyword_file,
     )
 }
 
@@ -227,6 +252,16 @@ SELECT side, status, count(*) AS n FROM (
   UNION ALL
   SELECT 'bank', {_PAIR} FROM bank_first r LEFT JOIN our_first l ON r.id = l.id)
 GROUP BY side, status""",
+    "exported_rows": over_sides("").rstrip() + _FIRST + f"""
+SELECT 'our' AS side, r.ordinal AS row_id, r.original AS trx, {_PAIR} AS status
+FROM our_first r LEFT JOIN bank_first l ON r.id = l.id
+UNION ALL
+SELECT 'bank', r.ordinal, r.original, {_PAIR} FROM bank_first r LEFT JOIN our_first l ON r.id = l.id""",
+    "dumped_rows": over_sides("").rstrip() + _FIRST + """
+SELECT 1 AS job_id, r.id AS bank_trx_id,
+  CASE WHEN b.original <> r.id THEN b.original || ' | ' || r.id ELSE r.id END
+    AS bank_trx_id_display, r.status, r.our_amount, r.bank_amount
+FROM recon r LEFT JOIN bank_first b ON b.id = r.id""",
     "dumped_results": over_sides("SELECT status, count(*) AS n FROM recon GROUP BY status"),
     "keyword_file": f"""SELECT keyword, file_type, language, priority, is_exact_match, description
 FROM ({PART_KEYWORDS.replace('{part}', 'part')}) WHERE is_active""",
