@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from . import common as c
 
 TOKENIZER = "byte_bpe_50k.json"
-LEXICON = 1 << 16    # words compiled at most
+LEXICON = 1 << 17    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
-KNOWN = 400_000      # pieces whose ids, or counts, a task keeps before it starts anew
+KNOWN = 200_000      # pieces whose ids, or counts, a task keeps before the older ones go
 EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
 CHUNK = 1 << 21      # code points encoded at once
+SIGNS = frozenset(".,;:!?")
 ID = "<i4"
 SHORT = 32           # bytes up to which words are merged together
 
@@ -79,7 +80,7 @@ class Tokenizer:
         """The text in pieces, special tokens as pieces of their own. It is cut where a space
         follows something that is not white space: the pattern never joins characters across such
         a place, so the words of the text are those of its pieces in a row."""
-        if not self.specials.search(text):
+        if not any(x in text for x in self.special):
             return _at_spaces(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
@@ -88,9 +89,15 @@ class Tokenizer:
         return out + _at_spaces(text[at:])
 
     def words(self, piece: str) -> list[str]:
-        """The pattern's words of a piece. Code points that this Python has no category for may
-        have another one in the pattern's library than in the tokenizer's; pieces that hold any are
-        cut by the tokenizer's own."""
+        """The pattern's words of a piece. Letters, with a space before them or not, are one word,
+        and a single sign after them is another. Code points that this Python has no category for
+        may have another one in the pattern's library than in the tokenizer's; pieces that hold any
+        are cut by the tokenizer's own."""
+        plain = piece[1:] if piece[:1] == " " else piece
+        if plain.isalpha():
+            return [piece]
+        if plain[-1:] in SIGNS and plain[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
         if piece in self.special:
             return [piece]
         if not piece.isascii() and self.beyond.search(piece) and any(
@@ -192,14 +199,17 @@ class Tokenizer:
 
 
 def _at_spaces(text: str) -> list[str]:
-    if _SPACES.search(text):
+    """The text cut before each space that follows something that is not white space."""
+    if any(x in text for x in _WHITE) or not text.isascii() and _WIDE.search(text):
         cut = _AFTER_TEXT.split(text)
     else:
         cut = text.split(" ")
     return [cut[0], *[" " + p for p in cut[1:]]]
 
 
-_SPACES = re.compile(r"\s ")             # every space here is cut at unless it follows white space
+# White space and then a space, within ASCII and beyond.
+_WHITE = [ch + " " for ch in map(chr, range(128)) if ch.isspace()]
+_WIDE = re.compile(r"[^\S\x00-\x7F] ")
 _AFTER_TEXT = re.compile(r"(?<=\S) ")
 
 
@@ -374,7 +384,7 @@ def word_counts(docs: DataFrame, text: str = "text", path: str | None = None) ->
         for _, texts in _chunks(batches):
             for t in texts:
                 pieces.update(tk.pieces(t))
-            if len(pieces) > KNOWN:
+            if len(pieces) > 2 * KNOWN:
                 yield told()
                 pieces.clear()
         yield told()
@@ -415,19 +425,22 @@ class Encoder:
 
     def __init__(self, tk: Tokenizer, lex: Lexicon):
         self.tk, self.lex = tk, lex
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}      # pieces used since the cache was last full
+        self.older: dict[str, bytes] = {}      # and those of the time before
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.tk.pieces(t) for t in texts]
         used = set().union(*cut)
-        new = used - self.known.keys()
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = used
-        spelled = [(piece, self.tk.words(piece)) for piece in new]
+        if len(self.known) > KNOWN:
+            self.older, self.known = self.known, {}
+        missing = used - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((piece, self.older[piece]) for piece in again)
+        spelled = [(piece, self.tk.words(piece)) for piece in missing - again]
         ids = self._ids_of(list({w for _, words in spelled for w in words}))
         for piece, words in spelled:
-            self.known[piece] = b"".join([ids[w] for w in words])
+            self.known[piece] = ids[words[0]] if len(words) == 1 else b"".join(
+                [ids[w] for w in words])
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), ID) for pieces in cut]
 
