@@ -129,8 +129,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     their names.
     """
     rows = c.cut(docs.select(F.monotonically_increasing_id().alias("row"),
-                             F.col(key).cast("long").alias("key"), F.col(text).alias("t")))
-    found = c.cut(digests(rows, "t", separator, min_words))
+                             F.col(key).cast("long").alias("key"), F.col(text).alias("t")), "zstd")
+    found = c.cut(digests(rows, "t", separator, min_words), "zstd")
     again = _repeats(found)
     spans = again.groupBy("row").agg(F.sort_array(F.collect_list(
         F.struct("unit", "place"))).alias("removed"))
