@@ -69,7 +69,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
 
     docs has a size (words, tokens; not null) and a positive quality weight for each row. taken
     is the size times the copies the mix takes. Null sources are one source. Rows of size 0 are
-    taken as their keys come; it costs nothing. Repeated rows draw the same key and are taken
+    taken as their keys come; it costs nothing. Other columns of docs are left out, whatever their
+    names. Repeated rows draw the same key and are taken
     one after the other; null keys draw like the empty text. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(source).alias("source"),

@@ -356,7 +356,10 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, base, spans) of every row: spelled spans, by kind as listed and then start.
 
-    Null and empty texts have none; repeated rows come back as often as they came.
+    Null and empty texts have none; repeated rows come back as often as they came, and keys may be
+    null or shared. A very long text is read whole, in one task; tokens count by their first 40
+    characters, and those without a digit or @ are no part of a chain. Other columns are left out,
+    whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(train())
 

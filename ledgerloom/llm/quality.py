@@ -203,7 +203,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network] | None, key: str =
     """(key, score) of every row: probability of label 1 from the whole text.
 
     Null and empty texts, and texts of white space, share the score of the zero vector; without
-    a model every score is 0.5. Repeated rows come back as often as they came.
+    a model every score is 0.5. Repeated rows come back as often as they came, and keys may be null
+    or shared. A very long text is pooled whole, in blocks of words; other columns are left out,
+    whatever their names.
     """
     vectors = docs.sparkSession.sparkContext.broadcast(model[0] if model else None)
     network = model[1] if model else None

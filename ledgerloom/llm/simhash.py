@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     between fingerprints of `shingle` words.
     Null and empty texts share fingerprint 0 and link like any other. A row with a null key is
     fingerprinted, and gets the component of its fingerprint, null if that has no other key.
-    Repeated rows come back as often as they came.
+    Repeated rows come back as often as they came. A very long text is fingerprinted whole, in
+    chunks of shingles; other columns are left out, whatever their names.
     """
     fps = c.cut(fingerprints(docs, key, text, shingle))
     nodes = c.cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")))

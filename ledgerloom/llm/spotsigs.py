@@ -49,6 +49,8 @@ def fingerprinted(rows: DataFrame, columns: dict[str, str], chain: int = CHAIN)
     A set is the sorted distinct hashes (bigint). Words are lower-cased runs of letters and
     digits. Chains that the text's end cuts short give no signature; a text without any has one
     made of all its words, so an empty text (or a null) is like another one without words only.
+    Rows are independent: keys may be null, shared or repeated. A very long text is one row's arrays;
+    columns of rows stay, unless their names begin with __ and a set's name.
     The j-th anchor, at word i, has i - j content words before it. Arrays are columns of their
     own on the way, so that each is made once.
     """
