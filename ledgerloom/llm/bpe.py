@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from . import common as c
 
 TOKENIZER = "byte_bpe_50k.json"
-LEXICON = 1 << 17    # words compiled at most
+LEXICON = 1 << 16    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
-KNOWN = 200_000      # pieces whose ids, or counts, a task keeps before the older ones go
+KNOWN = 100_000      # pieces whose ids, or counts, a task keeps before the older ones go
 EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
-CHUNK = 1 << 21      # code points encoded at once
+CHUNK = 1 << 19      # code points encoded at once
 SIGNS = frozenset(".,;:!?")
 ID = "<i4"
 SHORT = 32           # bytes up to which words are merged together
