@@ -263,7 +263,8 @@ class CsvFiles:
     leading zeros survive; blank cells are null, blank lines no rows. Rows with more fields than
     the header of their file, and rows with fewer whose last quote is never closed, are bad:
     `reject` leaves them to rejected(), `fail` raises an error when one is read, and `keep` takes
-    their first fields. Further options, such as `sep` or `multiLine` for quoted line breaks, go
+    their first fields. Fallback encodings beyond Spark's own list need
+    `spark.sql.legacy.javaCharsets`. Further options, such as `sep` or `multiLine` for quoted line breaks, go
     to the reader.
     """
 
