@@ -130,7 +130,7 @@ def _collapsed(s: DataFrame, keys: list[str], prefix: str, with_records: bool) -
                        F.col("original").alias(f"{prefix}_original"),
                        F.col("record").alias(f"{prefix}_record"))
     # No row of a key comes before its first, so this leaves one.
-    found = out.join(rows, [*same(), F.col("ordinal") <= F.col("_first")], "left")
+    found = out.join(rows.hint("merge"), [*same(), F.col("ordinal") <= F.col("_first")], "left")
     return found.drop("_first", "ordinal", *named.values())
 
 

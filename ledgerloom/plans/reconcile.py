@@ -309,15 +309,20 @@ def reconcile(
     job_id: int | None = None,
     replace_job: bool = False,
     created_at: datetime | None = None,
+    stage: bool = False,
     **detection,
 ) -> Run:
     """Match, compare and store one pair of files.
 
     Results are written once; totals, discrepancies and the report are then read from
     the stored table instead of repeating the join. The job is seen by others when it is finished;
-    a finished job of the same job_id is an error unless `replace_job` is set.
+    a finished job of the same job_id is an error unless `replace_job` is set. `stage` copies both
+    sides to the shared folder once their roles are known, for sides that are costly to read:
+    matching reads each several times.
     """
     roles = roles or detect_roles(ledger, statement, **detection)
+    if stage:
+        ledger, statement = st.staged(ledger), st.staged(statement)
     money = store.money
     created_at = created_at or datetime.now(timezone.utc).replace(tzinfo=None)
     ours = m.side(
@@ -370,7 +375,7 @@ def reconcile_files(
 
     `reader` holds options of open_side for both sides, the others for one; each side is read by
     its own format. Bad rows of either are in the run's `rejected`; `{"bad": "fail"}` makes them an
-    error instead.
+    error instead. Files are parsed once: what matching reads is a copy in the shared folder.
     """
     base = lambda p: p.rstrip("/").rsplit("/", 1)[-1]
     sides = {"our": (our_path, our_reader), "bank": (bank_path, bank_reader)}
@@ -378,7 +383,7 @@ def reconcile_files(
               for name, (path, own) in sides.items()}
     run = reconcile(
         opened["our"][0], opened["bank"][0], store, job_name=job_name,
-        our_file_name=base(our_path), bank_file_name=base(bank_path), **options,
+        our_file_name=base(our_path), bank_file_name=base(bank_path), stage=True, **options,
     )
     rejected = [bad.select(F.lit(name).alias("side"), "*")
                 for name, (_, bad) in opened.items() if bad is not None]

@@ -56,20 +56,21 @@ NA_TEXTS = [
 ]
 
 
-def file_path() -> Column:
+def file_path(encoded: Column | None = None) -> Column:
     """Path of the file a row comes from; the metadata column is percent-encoded."""
-    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(encoded)
+    encoded = F.col("_metadata.file_path") if encoded is None else encoded
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
 
 
 def scan_text(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Lines of text files with file path, block start and a row number within the task."""
+    """Lines of text files with file path as the scan has it (percent-encoded: file_path decodes
+    it), block start and a row number within the task."""
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.text(path).select(
         "value",
-        file_path().alias("path"),
+        F.col("_metadata.file_path").alias("encoded"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -118,7 +119,8 @@ def file_headers(
     spark: SparkSession, path: str | list[str], glob: str | None = FILE_GLOB,
     fallback: str = FALLBACK_ENCODING, sep: str = ",",
 ) -> DataFrame:
-    """(path, header, n_lines, n_invalid, most_fields, n_open, encoding) of every file, in one scan.
+    """(path, header, n_lines, n_invalid, most_fields, n_open, encoding, encoded) of every file, in
+    one scan; encoded is the path as scans have it, and is decoded once a file.
 
     header is the first line that is not blank; most_fields and n_open, lines with an open quote,
     go by lines as they are, so quoted line breaks mislead them. The encoding is UTF-8 unless some line is not valid, then the fallback.
@@ -129,7 +131,7 @@ def file_headers(
     bad = ~F.is_valid_utf8(line)
     filled = F.trim(line) != ""
     first = F.when(filled & (F.col("block") == 0), F.col("seq"))
-    found = scan_text(spark, path, glob).groupBy("path").agg(
+    found = scan_text(spark, path, glob).groupBy("encoded").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_invalid"),
         F.max(F.when(filled, n_fields(line, sep))).alias("most_fields"),
         F.count_if(has_open_quote(line, sep)).alias("n_open"),
@@ -138,8 +140,10 @@ def file_headers(
     header = F.when(broken, F.decode(F.col("header").cast("binary"), fallback)).otherwise(
         F.col("header"))
     return found.select(
-        "path", F.regexp_replace(header, "^\ufeff", "").alias("header"), "n_lines", "n_invalid",
-        "most_fields", "n_open", F.when(broken, fallback).otherwise("UTF-8").alias("encoding"))
+        file_path(F.col("encoded")).alias("path"),
+        F.regexp_replace(header, "^\ufeff", "").alias("header"), "n_lines", "n_invalid",
+        "most_fields", "n_open", F.when(broken, fallback).otherwise("UTF-8").alias("encoding"),
+        "encoded")
 
 
 def encodings(
@@ -175,9 +179,9 @@ def safe_names(names: list[str | None]) -> list[str]:
 
 
 def _place(rows: DataFrame) -> DataFrame:
-    """rows of a file scan with path, block and a row number within the task."""
+    """rows of a file scan with encoded path, block and a row number within the task."""
     return rows.select(
-        *[F.col(quoted(c)) for c in rows.columns], file_path().alias("path"),
+        *[F.col(quoted(c)) for c in rows.columns], F.col("_metadata.file_path").alias("encoded"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("seq"))
 
@@ -191,9 +195,9 @@ def _ordinal(rank: Column) -> Column:
     return (number(rank, 12) * F.lit(Decimal(FILE_ROWS)) + at).cast("decimal(38,0)")
 
 
-def _by_path(rows: DataFrame, files: DataFrame, n_files: int) -> DataFrame:
+def _by_path(rows: DataFrame, files: DataFrame, n_files: int, path: str = "path") -> DataFrame:
     """rows with the columns of their file; files has a row for each of n_files paths."""
-    return rows.join(files.hint("broadcast" if n_files <= BROADCAST_FILES else "merge"), "path")
+    return rows.join(files.hint("broadcast" if n_files <= BROADCAST_FILES else "merge"), path)
 
 
 def input_paths(df: DataFrame) -> list[str]:
@@ -205,7 +209,7 @@ def input_paths(df: DataFrame) -> list[str]:
 def _ranked(rows: DataFrame) -> DataFrame:
     """rows of a file scan with `file` and `ordinal`."""
     paths = input_paths(rows)
-    placed = _place(rows)
+    placed = _place(rows).withColumn("path", file_path(F.col("encoded")))
     rank = F.lit(0)
     if len(paths) > 1:
         ranks = rows.sparkSession.createDataFrame(list(enumerate(paths)), "rank long, path string")
@@ -333,7 +337,8 @@ class CsvFiles:
         if self.glob:
             reader = reader.option("pathGlobFilter", self.glob)
         rows = _by_path(_place(reader.schema(T.StructType(fields)).csv(self.path)),
-                        self.files.select("path", "rank", "names", "encoding"), about["n_files"])
+                        self.files.select("encoded", "path", "rank", "names", "encoding"),
+                        about["n_files"], "encoded")
         if same:
             return rows
         raw = lambda c: F.encode(c, BYTES)

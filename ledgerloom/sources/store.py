@@ -66,6 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what is costly to read is read once, and
+    later only the columns that are used. Names are given by place, so any are possible."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"staged-{uuid.uuid4().hex}")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
 class Store:
     """The three stored tables under one path."""
 

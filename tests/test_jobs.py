@@ -363,3 +363,22 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     for master in ("local", "local[8]", "local[*]"):
         spark, made = session(master)
         assert made == [checkpoint_dir(spark)]
+
+
+def test_files_are_parsed_once(spark, tmp_path):
+    ours = write(tmp_path / "our.csv", OUR)
+    bank = write(tmp_path / "bank.csv", BANK)
+    run = rc.reconcile_files(spark, ours, bank, Store(spark, str(tmp_path / "store")), job_name="j",
+                             roles=rc.Roles("Bank Trx ID", "Transaction_ID", "Paid Amt", "Credit"),
+                             target_bank="Test Bank")
+    plan = run.bank_matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "csv" not in plan
+    assert {r.bank: r.n_ids for r in run.bank_matches.collect()} == {"Test Bank": 3}
+
+
+def test_paths_are_decoded_once_a_file(spark, tmp_path):
+    write(tmp_path / "a +%20é.csv", "n\n1\n2\n")
+    found = files.file_headers(spark, str(tmp_path)).first()
+    assert found.path.endswith("/a +%20é.csv") and found.encoded != found.path
+    rows = files.CsvFiles.open(spark, str(tmp_path)).rows().collect()
+    assert [(r.file, r.vals) for r in rows] == [(found.path, ["1"]), (found.path, ["2"])]
