@@ -180,20 +180,29 @@ def first_cells(long: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     return first_per_group(long, ["position", "file"], order, n, rank="rn")
 
 
+def value_counts(cells: DataFrame) -> DataFrame:
+    """(file, position, col, n_cols, val, n): how often each value stands in each column, nulls
+    too. What is told from a value is then told once, and the one shuffle, by column and value,
+    carries a value's text and a count."""
+    return cells.groupBy(*HEADER, "val").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _measures(distinct: Column) -> list[Column]:
-    v = F.col("val")
+    """Measures of measured cells (val, number, length), each of which stands `n` times."""
+    v, n = F.col("val"), F.col("n")
     number = F.col("number")
     # A token with blanks around it counts as filled; a blank cell does not.
     token = (F.octet_length(v) <= 4) & F.lower(v).isin(*NULL_TOKENS)
     filled = (F.col("length") > 0) & ~token
+    times = lambda condition: F.sum(F.when(condition, n).otherwise(0))
     return [
-        F.count("val").alias("non_null"),
-        F.count_if(filled).alias("non_empty"),
+        times(v.isNotNull()).alias("non_null"),
+        times(filled).alias("non_empty"),
         distinct,
-        F.coalesce(F.sum("length"), F.lit(0)).alias("length_sum"),
-        F.count(number).alias("n_numeric"),
-        F.count_if(number > 0).alias("n_positive"),
-        F.avg(number).alias("mean_value"),
+        F.coalesce(F.sum(F.col("length") * n), F.lit(0)).alias("length_sum"),
+        times(number.isNotNull()).alias("n_numeric"),
+        times(number > 0).alias("n_positive"),
+        F.coalesce(F.sum(number * n), F.lit(0.0)).alias("number_sum"),
     ]
 
 
@@ -223,7 +232,13 @@ def column_profile(
     cells = first_cells(long, sample) if sample else long
     if approximate_distinct:
         return profile_of(profile_parts(cells))
-    return _rated(_measured(cells).groupBy(*HEADER).agg(*_measures(F.count_distinct("val").alias("n_distinct"))))
+    return counted_profile(value_counts(cells))
+
+
+def counted_profile(counts: DataFrame) -> DataFrame:
+    """The profile of columns from their value_counts, distinct values counted."""
+    distinct = F.count("val").alias("n_distinct")
+    return _rated(_with_mean(_measured(counts).groupBy(*HEADER).agg(*_measures(distinct))))
 
 
 def _measured(cells: DataFrame) -> DataFrame:
@@ -231,13 +246,19 @@ def _measured(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"number": parse_number(v), "length": F.length(strip(v))})
 
 
-def profile_parts(long: DataFrame) -> DataFrame:
+def _with_mean(profile: DataFrame) -> DataFrame:
+    mean = F.when(F.col("n_numeric") > 0, F.col("number_sum") / F.col("n_numeric"))
+    return profile.withColumn("mean_value", mean).drop("number_sum")
+
+
+def profile_parts(cells: DataFrame) -> DataFrame:
     """A profile of every column in a form that can be merged: counts, sums and a sketch of its
-    distinct values. It may be stored, so that new files of a directory are profiled alone."""
+    distinct values. It may be stored, so that new files of a directory are profiled alone. It
+    takes cells in long form, or their value_counts, which hold a cell `n` times."""
+    if "n" not in cells.columns:
+        cells = cells.withColumn("n", F.lit(1))
     sketch = F.hll_sketch_agg("val", SKETCH).alias("sketch")
-    return _measured(long).groupBy(*HEADER).agg(
-        *_measures(sketch), F.coalesce(F.sum("number"), F.lit(0.0)).alias("number_sum")
-    ).drop("mean_value")
+    return _measured(cells).groupBy(*HEADER).agg(*_measures(sketch))
 
 
 def merged_parts(parts: DataFrame, *keys: str) -> DataFrame:
@@ -251,10 +272,8 @@ def merged_parts(parts: DataFrame, *keys: str) -> DataFrame:
 
 def profile_of(parts: DataFrame) -> DataFrame:
     """The profile that parts, merged or not, make."""
-    counted = parts.withColumns({
-        "n_distinct": F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)),
-        "mean_value": F.when(F.col("n_numeric") > 0, F.col("number_sum") / F.col("n_numeric"))})
-    return _rated(counted.drop("sketch", "number_sum"))
+    distinct = F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0))
+    return _rated(_with_mean(parts.withColumn("n_distinct", distinct).drop("sketch")))
 
 
 # Words that make a header an amount candidate.

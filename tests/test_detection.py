@@ -435,3 +435,17 @@ def test_whole_columns_are_sketched_and_merge(spark):
     assert both["n"]["non_null"] == 7000 and abs(both["n"]["n_distinct"] - 900) <= 18
     assert (both["t"]["n_distinct"], both["t"]["mean_value"]) == (1, None)
     assert "Expand" not in plan_of(pf.column_profile(long, None))
+
+
+def test_values_are_measured_once_each(spark):
+    cells = long_table(spark, {"A": ["1.5", "1.5", " nan ", None], "B": ["x", "x", "x", "x"],
+                               "C": [None] * 4})
+    counts = pf.value_counts(cells)
+    assert {(r.col, r.val, r.n) for r in counts.collect()} == {
+        ("A", "1.5", 2), ("A", " nan ", 1), ("A", None, 1), ("B", "x", 4), ("C", None, 4)}
+    want = {"A": (3, 3, 2, 9, 2, 2, 1.5), "B": (4, 4, 1, 4, 0, 0, None), "C": (0, 0, 0, 0, 0, 0, None)}
+    for profile in (pf.counted_profile(counts), pf.profile_of(pf.profile_parts(counts)),
+                    pf.profile_of(pf.profile_parts(cells)),
+                    pf.column_profile(cells, None, approximate_distinct=False)):
+        assert {r.col: (r.non_null, r.non_empty, r.n_distinct, r.length_sum, r.n_numeric,
+                        r.n_positive, r.mean_value) for r in profile.collect()} == want
