@@ -71,9 +71,9 @@ def column_profile(spark, sf):
 def column_profile_merged(spark, sf):
     """Whole columns over all files of a layout, from the parts of each file: counts as they are,
     distinct values within three percent of the exact number."""
-    long = long_table(spark, sf)
-    parts = pf.merged_parts(pf.profile_parts(long), "position", "n_cols", "col")
-    exact = long.groupBy("position", "n_cols", "col").agg(F.count_distinct("val").alias("exact"))
+    counts = pf.value_counts(long_table(spark, sf))
+    parts = pf.merged_parts(pf.profile_parts(counts), "position", "n_cols", "col")
+    exact = counts.groupBy("position", "n_cols", "col").agg(F.count_distinct("val").alias("exact"))
     out = pf.profile_of(parts).join(exact, ["position", "n_cols", "col"])
     mean = F.when(F.abs("mean_value") < 1e9, F.round("mean_value", 4))
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.03
