@@ -27,6 +27,7 @@ HEADER = [*COLUMN, "n_cols"]
 SAMPLE_ROWS = 100
 SKETCH = 14          # binary logarithm of a sketch's registers
 SLACK = 4            # leading rows looked at for each value of a sample
+FEW_BOUNDS = 32      # groups whose bounds are a condition instead of a join
 
 
 def to_long(
@@ -130,8 +131,20 @@ def _bounds(df: DataFrame, keys: list[str], n: int, head: Column | None) -> Data
 
 
 def _up_to(df: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
-    near = df.join(sized(bounds.select(*keys, "_upto")), keys).where("ordinal <= _upto")
-    return near.drop("_upto")
+    """Rows up to the bound of their group. Few bounds become a condition on the rows, which is
+    tested before their cells are made; a join would come after that."""
+    bounds = bounds.select(*keys, "_upto")
+    few = bounds.limit(FEW_BOUNDS + 1).collect()
+    if len(few) > FEW_BOUNDS or any(x is None for row in few for x in row):
+        return df.join(sized(bounds), keys).where("ordinal <= _upto").drop("_upto")
+    kind = bounds.schema["_upto"].dataType
+    inside = F.lit(False)
+    for row in few:
+        here = F.col("ordinal") <= F.lit(row["_upto"]).cast(kind)
+        for k in keys:
+            here = here & (F.col(k) == F.lit(row[k]))
+        inside = inside | here
+    return df.where(inside)
 
 
 def leading_rows(rows: DataFrame, n: int, head: Column | None = None) -> DataFrame:
@@ -156,10 +169,11 @@ def first_values(rows: DataFrame, n: int = SAMPLE_ROWS, head: Column | None = No
     short = short.groupBy("file").agg(F.collect_set("position").alias("_short")).checkpoint()
     if short.isEmpty():
         return top
-    filled = F.filter(_cells(), lambda c: F.array_contains("_short", c["position"])
-                      & c["val"].isNotNull())
+    cells = F.transform("_short", lambda i: F.struct(
+        i.alias("position"), F.get("names", i).alias("col"), F.get("vals", i).alias("val")))
     through = rows.join(sized(short), "file").select(
-        "file", "ordinal", F.size("names").alias("n_cols"), F.inline(filled))
+        "file", "ordinal", F.size("names").alias("n_cols"), F.inline(cells)).where(
+        F.col("val").isNotNull())
     keys = ["file", "position"]
     ends = _bounds(through, keys, n, None)
     if ends.isEmpty():

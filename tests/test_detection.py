@@ -449,3 +449,17 @@ def test_values_are_measured_once_each(spark):
                     pf.column_profile(cells, None, approximate_distinct=False)):
         assert {r.col: (r.non_null, r.non_empty, r.n_distinct, r.length_sum, r.n_numeric,
                         r.n_positive, r.mean_value) for r in profile.collect()} == want
+
+
+def test_leading_rows_are_chosen_before_cells_are_made(spark):
+    wide = spark.range(3000).selectExpr(
+        "concat('f', id % 3) AS file", "id AS ordinal", "cast(id AS string) AS a",
+        "cast(null AS string) AS b")
+    rows = pf.to_rows(wide)
+    near = pf.leading_rows(rows, 10)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Project") < plan.index("Filter")
+    assert 30 <= near.count() < 300
+    first = pf.first_values(rows, 10).where("val is not null")
+    assert {r.file: r.n for r in first.groupBy("file").agg(F.count("*").alias("n")).collect()} == {
+        "f0": 10, "f1": 10, "f2": 10}
