@@ -9,13 +9,16 @@ words of a chunk through it at once, and merge words it does not hold exactly.
 
 from __future__ import annotations
 
+import base64
 import heapq
 import json
 import mmap
+import os
 import re
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -75,6 +78,25 @@ class Tokenizer:
         self.beyond = re.compile("[\u0378-\U0010FFFF]")    # from the first unassigned one on
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        self.merged = self._published(path)
+
+    def _published(self, path: str):
+        """The merging of one word in tiktoken, where the vocabulary is published as ranks too, in
+        a file beside it that gives every token the same id; else None, and words are merged here."""
+        ranks_path = path.removesuffix(".json") + ".tiktoken"
+        if not os.path.exists(ranks_path):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        plain = {b: i for i, b in self.bytes.items() if b.decode("utf-8", "replace") not in
+                 self.special}
+        if plain != ranks:
+            return None
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={})._core_bpe.encode_single_piece
 
     def pieces(self, text: str) -> list[str]:
         """The text in pieces, special tokens as pieces of their own. It is cut where a space
@@ -94,7 +116,7 @@ class Tokenizer:
         may have another one in the pattern's library than in the tokenizer's; pieces that hold any
         are cut by the tokenizer's own."""
         plain = piece[1:] if piece[:1] == " " else piece
-        if plain.isalpha():
+        if plain.isalpha():                      # as is_word
             return [piece]
         if plain[-1:] in SIGNS and plain[:-1].isalpha():
             return [piece[:-1], piece[-1]]
@@ -107,9 +129,12 @@ class Tokenizer:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as bytes (ID): of all its neighbouring symbols the pair of the lowest
-        rank is merged first, the leftmost of equal ones. Short words are merged together, long
-        ones by a queue."""
+        rank is merged first, the leftmost of equal ones. Where tiktoken has the vocabulary it
+        merges them; else short words are merged together, long ones by a queue."""
         plain = [w.encode("utf-8", "replace") for w in words]
+        if self.merged:
+            return [array("i", [self.special[w]] if w in self.special else
+                          self.merged(b) if b else []).tobytes() for w, b in zip(words, plain)]
         short = [i for i, w in enumerate(plain)
                  if 0 < len(w) <= SHORT and words[i] not in self.special]
         out = [b""] * len(words)
@@ -198,6 +223,11 @@ class Tokenizer:
         return found.decode("utf-8", "replace")
 
 
+def is_word(piece: str) -> bool:
+    """Whether a piece is letters, with a space before them or not, and so one word."""
+    return piece.removeprefix(" ").isalpha()
+
+
 def _at_spaces(text: str) -> list[str]:
     """The text cut before each space that follows something that is not white space."""
     if any(x in text for x in _WHITE) or not text.isascii() and _WIDE.search(text):
@@ -373,8 +403,9 @@ def word_counts(docs: DataFrame, text: str = "text", path: str | None = None) ->
         tk, pieces = tokenizer(path), Counter()
 
         def told() -> pa.RecordBatch:
-            counts = Counter()
-            for piece, n in pieces.items():
+            counts = Counter({p: n for p, n in pieces.items() if is_word(p)})
+            for piece in pieces.keys() - counts.keys():
+                n = pieces[piece]
                 for w in tk.words(piece):
                     counts[w] += n
             return pa.RecordBatch.from_arrays(
@@ -436,11 +467,12 @@ class Encoder:
         missing = used - self.known.keys()
         again = missing & self.older.keys()
         self.known.update((piece, self.older[piece]) for piece in again)
-        spelled = [(piece, self.tk.words(piece)) for piece in missing - again]
-        ids = self._ids_of(list({w for _, words in spelled for w in words}))
-        for piece, words in spelled:
-            self.known[piece] = ids[words[0]] if len(words) == 1 else b"".join(
-                [ids[w] for w in words])
+        new = missing - again
+        alone = [piece for piece in new if is_word(piece)]
+        spelled = [(piece, self.tk.words(piece)) for piece in new.difference(alone)]
+        ids = self._ids_of(list({w for _, words in spelled for w in words}.union(alone)))
+        self.known.update((piece, ids[piece]) for piece in alone)
+        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in spelled)
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, pieces)), ID) for pieces in cut]
 

@@ -180,6 +180,17 @@ def test_both_ways_of_merging_agree():
     assert tk.merge([]) == []
 
 
+def test_published_ranks_merge_as_the_merges_do():
+    tk = bpe.tokenizer()
+    rng = random.Random(11)
+    words = ["".join(rng.choice(" aeinorstlé9中.") for _ in range(rng.randint(1, 40))) for _ in range(800)]
+    assert tk.merged is not None
+    by_ranks = tk.merge(words)
+    assert by_ranks == [np.array(tk._queued([tk.symbol[b] for b in w.encode()]), "<i4").tobytes()
+                        for w in words]
+    assert by_ranks == tk._together([w.encode() for w in words])
+
+
 def test_the_lexicon_holds_the_most_frequent_words(spark):
     docs = spark.createDataFrame([(i, "aa bb" + " cc" * 5 + " dd" * 3 + " ee" * (i > 0)) for i in range(3)]
                                  + [(9, "x" * 40 + " once")], "doc_id long, text string")
