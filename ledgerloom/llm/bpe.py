@@ -364,17 +364,13 @@ class Lexicon:
         return [self.flat[self.ends[p]:self.ends[p + 1]] for p in places]
 
 
-def mapped(key: str, block: bytes) -> Lexicon:
-    """The lexicon of this process, read from a mapped file that has no name left; a process that
-    takes the place of a lost one maps it anew from the broadcast block."""
-
-    def make() -> Lexicon:
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
-            return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-
-    return c.once(("lexicon", key), make)
+def mapped(block: bytes) -> Lexicon:
+    """The lexicon, read from a mapped file that has no name left; a process that takes the place
+    of a lost one maps it anew from the broadcast block."""
+    with tempfile.TemporaryFile() as f:
+        f.write(block)
+        f.flush()
+        return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 def _text(value: pa.Scalar) -> str:
@@ -486,6 +482,35 @@ class Encoder:
         return out
 
 
+def _encoding(docs: DataFrame, block: bytes, path: str | None):
+    """For tasks: (keys, ids) of the (key, text) rows of batches, a chunk at a time. A process
+    keeps the pieces and the lexicon of one job, the last that it had a task of."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+        encoder = c.newest("encoder", name, lambda: Encoder(
+            tokenizer(path), mapped(shared.value)))
+        for keys, texts in _chunks(batches):
+            ids = encoder.encode(texts)
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            yield pa.array(keys, pa.int64()), pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+    return run
+
+
+def _spelled(tk: Tokenizer, lists: pa.ListArray) -> pa.Array:
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    return pa.array([tk.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])],
+                    pa.string())
+
+
+def _key_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"),
+                       F.col(text).cast("binary").alias("text"))
+
+
 def encoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "text",
             path: str | None = None) -> DataFrame:
     """(key, ids) of every row of docs: its text's ids, special tokens told apart, none added.
@@ -495,23 +520,14 @@ def encoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "tex
     replacement character. A very long text is encoded whole in one task; a word of n bytes costs
     n log n. Other columns of docs are left out, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    name = uuid.uuid4().hex
+    encoding = _encoding(docs, block, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = c.once(("encoder", name, path), lambda: Encoder(
-            tokenizer(path), mapped(name, shared.value)))
-        for keys, texts in _chunks(batches):
-            ids = encoder.encode(texts)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                             pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists],
-                                             names=["key", "ids"])
+        for keys, ids in encoding(batches):
+            yield pa.RecordBatch.from_arrays([keys, ids], names=["key", "ids"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"),
-                       F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, ids array<int>").withColumnRenamed("key", key)
+    return _key_and_text(docs, key, text).mapInArrow(
+        run, "key long, ids array<int>").withColumnRenamed("key", key)
 
 
 def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None
@@ -522,11 +538,8 @@ def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokenizer(path)
         for batch in batches:
-            lists = batch.column(1)
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = [tk.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists, pa.array(texts, pa.string())],
+                [batch.column(0), batch.column(1), _spelled(tk, batch.column(1))],
                 names=["key", "ids", "text"])
 
     plain = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(
@@ -535,10 +548,26 @@ def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
         "key", key)
 
 
+def recoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "text",
+            path: str | None = None) -> DataFrame:
+    """(key, ids, text) of every row of docs: decoded(encoded(docs)), both by the same process, so
+    that a task takes one and not two at a time."""
+    encoding = _encoding(docs, block, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tk = tokenizer(path)
+        for keys, ids in encoding(batches):
+            yield pa.RecordBatch.from_arrays([keys, ids, _spelled(tk, ids)],
+                                             names=["key", "ids", "text"])
+
+    return _key_and_text(docs, key, text).mapInArrow(
+        run, "key long, ids array<int>, text string").withColumnRenamed("key", key)
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded from its ids."""
     docs = c.table(spark, sf_dir, "documents")
-    back = decoded(encoded(docs, lexicon(docs)))
+    back = recoded(docs, lexicon(docs))
     spelled = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(spelled, 256).alias("ids_sha256"),

@@ -52,15 +52,30 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _kept() -> dict:
+    """What this process keeps between tasks."""
+    return sys.modules.setdefault("_ledgerloom_llm_kept", types.ModuleType("kept")).__dict__
+
+
 def once(key: object, make: Callable):
     """make()'s value, kept for the life of the process: a task's functions come by value, and
     what they keep in module globals would be made anew for every task."""
-    kept = sys.modules.setdefault("_ledgerloom_llm_kept", types.ModuleType("kept")).__dict__
+    kept = _kept()
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
+def newest(slot: str, key: object, make: Callable):
+    """make()'s value, kept until another key asks for the slot. For what belongs to one job:
+    processes outlive jobs, and once() would keep what each of them has left."""
+    kept = _kept()
+    if slot not in kept or kept[slot][0] != key:
+        kept.pop(slot, None)                     # first, so that there are never two
+        kept[slot] = key, make()
+    return kept[slot][1]
+
+
 def remainder(id_column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_column).cast("string")) % F.lit(n)

@@ -138,6 +138,42 @@ def test_ids_are_the_librarys_whatever_the_lexicon(spark, library, limit):
         assert r["ids"] == library.encode(t, add_special_tokens=False).ids and r["text"] == t
 
 
+def test_a_process_keeps_what_one_job_has_left(spark):
+    """Lexicons in each Python process after several jobs, none of which leaves its own behind."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)],
+                                 "doc_id long, text string").repartition(16)
+    block = bpe.lexicon(docs)
+    for _ in range(4):
+        assert bpe.decoded(bpe.encoded(docs, block)).count() == 64
+
+    def held(batches):
+        import gc
+        import pyarrow as pa
+
+        assert sum(len(b) for b in batches) >= 0
+        gc.collect()
+        n = sum(type(x).__name__ == "Lexicon" for x in gc.get_objects())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    counts = [r["n"] for r in docs.select("doc_id").mapInArrow(held, "n long").collect()]
+    assert max(counts) == 1
+
+
+def test_a_task_encodes_and_decodes_in_one_process(spark, odd):  # noqa: F811
+    plan = bpe.op12_bpe(spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_both_steps_at_once_are_the_two(spark):
+    texts = [*strange_texts()[::7], "", None, None]
+    docs = spark.createDataFrame([(i % 40 or None, t) for i, t in enumerate(texts)],
+                                 "k long, t string")
+    block = bpe.lexicon(docs, "t")
+    both, two = (Counter((r["k"], tuple(r["ids"]), r["text"]) for r in rows.collect()) for rows in (
+        bpe.recoded(docs, block, "k", "t"), bpe.decoded(bpe.encoded(docs, block, "k", "t"), "k")))
+    assert both == two and sum(both.values()) == len(texts)
+
+
 def test_decoding_ids_that_are_no_text(spark, library):
     ids = [[50256, 0, 0], [128, 129, 130, 64], [], None, [99999, 64]]
     rows = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
