@@ -19,11 +19,12 @@ import tempfile
 import unicodedata
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ from . import common as c
 TOKENIZER = "byte_bpe_50k.json"
 LEXICON = 1 << 16    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
-KNOWN = 100_000      # pieces whose ids, or counts, a task keeps before the older ones go
 EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
-CHUNK = 1 << 19      # code points encoded at once
+CHUNK = 1 << 23      # bytes of text encoded at once
+BLOCK = 1 << 18      # pieces, or ids, spelled at once
 SIGNS = frozenset(".,;:!?")
 ID = "<i4"
 SHORT = 32           # bytes up to which words are merged together
@@ -76,8 +77,15 @@ class Tokenizer:
         self.pair_ranks = np.array([self.rank.get(k, self.none) for k in self.pairs.tolist()])
         self.words_of = regex.compile(public_tokenizers.PATTERN).findall
         self.beyond = re.compile("[\u0378-\U0010FFFF]")    # from the first unassigned one on
+        sizes = [len(self.bytes.get(i, b"")) for i in range(self.base)]
+        self.spelling = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(self.base)),
+                                      np.uint8)              # of every id, and where its own ends
+        self.spelling_ends = np.cumsum(sizes)
         self.cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
+        # In Arrow's patterns: white space and then a space, or a special token.
+        self.odd = "|".join([f"[{_SPACES}] ", *(
+            "".join(f"\\x{{{ord(ch):x}}}" for ch in x) for x in self.special)])
         self.merged = self._published(path)
 
     def _published(self, path: str):
@@ -116,7 +124,7 @@ class Tokenizer:
         may have another one in the pattern's library than in the tokenizer's; pieces that hold any
         are cut by the tokenizer's own."""
         plain = piece[1:] if piece[:1] == " " else piece
-        if plain.isalpha():                      # as is_word
+        if plain.isalpha():
             return [piece]
         if plain[-1:] in SIGNS and plain[:-1].isalpha():
             return [piece[:-1], piece[-1]]
@@ -213,19 +221,56 @@ class Tokenizer:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens' bytes as text; ids without a token give nothing, bytes that are no UTF-8
-        the replacement character."""
-        try:
-            found = b"".join(map(self.bytes.__getitem__, ids))
-        except KeyError:
-            found = b"".join(self.bytes.get(i, b"") for i in ids)
-        return found.decode("utf-8", "replace")
-
-
-def is_word(piece: str) -> bool:
-    """Whether a piece is letters, with a space before them or not, and so one word."""
-    return piece.removeprefix(" ").isalpha()
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The tokens' bytes as texts, of which ends has the number of ids to their end; ids without
+        a token give nothing, bytes that are no UTF-8 the replacement character."""
+        known = (ids >= 0) & (ids < self.base)
+        spelled, size = _joined(self.spelling, self.spelling_ends, np.where(known, ids, 0))
+        if not known.all():
+            spelled, size = spelled[np.repeat(known, size)], size * known
+        return _texts(_binary(spelled, np.concatenate(([0], np.cumsum(size)))[
+            np.concatenate(([0], ends))]))
+
+    def cut(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+        """Pieces of texts, in two parts: places of texts, their distinct pieces, the place of each
+        of their pieces among those, and how many there are to each text's end. Texts without white
+        space before a space and without special tokens are cut by Arrow at every space, all others
+        by pieces()."""
+        odd = pc.match_substring_regex(texts, self.odd)
+        where = odd.to_numpy(zero_copy_only=False)
+        if not where.all():
+            lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+            bounds, flat = lists.offsets.to_numpy(), lists.flatten()
+            after = flat.dictionary_encode()
+            first = flat.take(pa.array(bounds[:-1])).dictionary_encode()
+            codes = after.indices.to_numpy().astype(np.int64)
+            codes[bounds[:-1]] = len(after.dictionary) + first.indices.to_numpy()
+            pieces = pa.concat_arrays([
+                pc.binary_join_element_wise("", after.dictionary, " "), first.dictionary])
+            used = np.bincount(codes, minlength=len(pieces)) > 0   # not so if only a text's first
+            yield (np.flatnonzero(~where), pieces.filter(pa.array(used)),
+                   (np.cumsum(used) - 1)[codes], bounds[1:])
+        if where.any():
+            cut = [self.pieces(t) for t in texts.filter(odd).to_pylist()]
+            found = pa.array([*chain(*cut)], pa.string()).dictionary_encode()
+            yield (np.flatnonzero(where), found.dictionary,
+                   found.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in cut]))
+
+    def words_of_pieces(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray,
+                                                         np.ndarray]:
+        """Distinct words of pieces, the place of each piece's words among them, how many those are
+        to each piece's end, and the pieces' order in this: those of ASCII letters come first."""
+        alone = pc.match_substring_regex(pieces, "^ ?[A-Za-z]+$")
+        words, sizes = [], []
+        for piece in pieces.filter(pc.invert(alone)).to_pylist():
+            found = self.words(piece)
+            words += found
+            sizes.append(len(found))
+        letters = pieces.filter(alone)
+        found = pa.concat_arrays([letters, pa.array(words, pa.string())]).dictionary_encode()
+        order = np.argsort(~alone.to_numpy(zero_copy_only=False), kind="stable")
+        return (found.dictionary, found.indices.to_numpy().astype(np.int64),
+                np.cumsum([1] * len(letters) + sizes, dtype=np.int64), order)
 
 
 def _at_spaces(text: str) -> list[str]:
@@ -237,6 +282,35 @@ def _at_spaces(text: str) -> list[str]:
     return [cut[0], *[" " + p for p in cut[1:]]]
 
 
+def _joined(rows: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of several values, one after the other in `rows`, in the order of places, and the
+    number of values of each."""
+    size = np.diff(ends, prepend=0)
+    out = [rows[:0]]
+    for at in range(0, len(places), BLOCK):
+        some = places[at:at + BLOCK]
+        n = size[some]
+        shift = ends[some] - np.cumsum(n)
+        out.append(rows[np.repeat(shift, n) + np.arange(n.sum())])
+    return np.concatenate(out), size[places]
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes as an Arrow column whose rows ends has the bounds of."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+
+
+def _texts(raw: pa.Array) -> pa.Array:
+    """Bytes as text: nothing for nulls, the replacement character for what is no UTF-8."""
+    raw = raw.fill_null(b"")
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
+_SPACES = "".join(f"\\x{{{x:x}}}" for x in range(1 << 16) if chr(x).isspace())
 # White space and then a space, within ASCII and beyond.
 _WHITE = [ch + " " for ch in map(chr, range(128)) if ch.isspace()]
 _WIDE = re.compile(r"[^\S\x00-\x7F] ")
@@ -334,15 +408,16 @@ class Lexicon:
         at = 8 * np.concatenate(([6], 6 + np.cumsum(lengths)))
         self.keys, self.leads, self.adds, self.final, self.starts, self.ids = (
             np.frombuffer(block, np.int64, n, a) for n, a in zip(lengths, at))
-        self.flat = self.ids.astype(ID).tobytes()
-        self.ends = (4 * self.starts).tolist()
+        self.ends = self.starts[1:]
 
-    def places(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """Place of each word in the lexicon, -1 for those it does not hold. All words walk at
         once, a byte at a time."""
-        size = np.array([len(w) for w in words], np.int64)
-        start = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(words), np.uint8)
+        words = pa.array(words, pa.binary()) if isinstance(words, list) else words
+        size = pc.binary_length(words).to_numpy().astype(np.int64)
+        bounds, text = (np.frombuffer(x or b"", kind) for x, kind in zip(
+            words.buffers()[1:], (np.int32, np.uint8)))
+        start = bounds[words.offset:words.offset + len(words)]
         state, place = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         live = np.arange(len(words)) if len(self.keys) else np.empty(0, np.int64)
         state[:] = 0 if len(self.keys) else -1
@@ -361,7 +436,7 @@ class Lexicon:
         return np.where(held, place, -1)
 
     def ids_of(self, places: list[int]) -> list[bytes]:
-        return [self.flat[self.ends[p]:self.ends[p + 1]] for p in places]
+        return [self.ids[self.starts[p]:self.starts[p + 1]].astype(ID).tobytes() for p in places]
 
 
 def mapped(block: bytes) -> Lexicon:
@@ -373,48 +448,31 @@ def mapped(block: bytes) -> Lexicon:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-def _text(value: pa.Scalar) -> str:
-    return (value.as_py() or b"").decode("utf-8", "replace")
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """(key, text) columns of about CHUNK code points."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts of about CHUNK bytes."""
     for batch in batches:
-        keys, texts, n = [], [], 0
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            keys.append(k)
-            texts.append(_text(t))
-            n += len(texts[-1])
-            if n >= CHUNK:
-                yield keys, texts
-                keys, texts, n = [], [], 0
-        if keys:
-            yield keys, texts
+        keys, raw = batch.column(0), batch.column(1)
+        ends = np.cumsum(pc.binary_length(raw).fill_null(0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+            yield keys.slice(at, to - at), _texts(raw.slice(at, to - at))
+            at = to
 
 
 def word_counts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """(word, n) over all rows of docs, words of up to LONGEST bytes. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tk, pieces = tokenizer(path), Counter()
-
-        def told() -> pa.RecordBatch:
-            counts = Counter({p: n for p, n in pieces.items() if is_word(p)})
-            for piece in pieces.keys() - counts.keys():
-                n = pieces[piece]
-                for w in tk.words(piece):
-                    counts[w] += n
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.encode("utf-8", "replace") for w in counts], pa.binary()),
-                 pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
+        tk = tokenizer(path)
         for _, texts in _chunks(batches):
-            for t in texts:
-                pieces.update(tk.pieces(t))
-            if len(pieces) > 2 * KNOWN:
-                yield told()
-                pieces.clear()
-        yield told()
+            for _, pieces, codes, _ in tk.cut(texts):
+                words, places, ends, order = tk.words_of_pieces(pieces)
+                n = np.bincount(codes, minlength=len(pieces))[order]
+                n = np.bincount(places, np.repeat(n, np.diff(ends, prepend=0)), len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [words.cast(pa.binary()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     rows = docs.select(F.lit(0).alias("key"), F.col(text).cast("binary").alias("text"))
     counted = rows.mapInArrow(run, "word binary, n long")
@@ -448,62 +506,60 @@ def lexicon(docs: DataFrame, text: str = "text", limit: int = LEXICON, path: str
 # --- encoding and decoding ------------------------------------------------------------------
 
 class Encoder:
-    """Ids of texts, remembering those of their pieces."""
+    """Ids of texts: of every distinct piece of a chunk once, by its words."""
 
     def __init__(self, tk: Tokenizer, lex: Lexicon):
         self.tk, self.lex = tk, lex
-        self.known: dict[str, bytes] = {}      # pieces used since the cache was last full
-        self.older: dict[str, bytes] = {}      # and those of the time before
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.tk.pieces(t) for t in texts]
-        used = set().union(*cut)
-        if len(self.known) > KNOWN:
-            self.older, self.known = self.known, {}
-        missing = used - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((piece, self.older[piece]) for piece in again)
-        new = missing - again
-        alone = [piece for piece in new if is_word(piece)]
-        spelled = [(piece, self.tk.words(piece)) for piece in new.difference(alone)]
-        ids = self._ids_of(list({w for _, words in spelled for w in words}.union(alone)))
-        self.known.update((piece, ids[piece]) for piece in alone)
-        self.known.update((piece, b"".join([ids[w] for w in words])) for piece, words in spelled)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), ID) for pieces in cut]
-
-    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words: the lexicon's, or those that merging gives."""
-        places = self.lex.places([w.encode("utf-8", "replace") for w in words]).tolist()
-        held = [(w, p) for w, p in zip(words, places) if p >= 0]
-        unseen = [w for w, p in zip(words, places) if p < 0]
-        out = dict(zip(unseen, self.tk.merge(unseen)))
-        out.update(zip((w for w, _ in held), self.lex.ids_of([p for _, p in held])))
-        return out
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """In parts: places of texts, their ids, and how many there are to each text's end."""
+        for where, pieces, codes, ends in self.tk.cut(texts):
+            ids, size = _joined(*self._ids_of_pieces(pieces), codes)
+            yield where, ids, np.concatenate(([0], np.cumsum(size)))[ends]
+
+    def _ids_of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and how many there are to each piece's end."""
+        words, places, ends, order = self.tk.words_of_pieces(pieces)
+        ids, size = _joined(*self._ids_of(words), places)
+        ends = np.concatenate(([0], np.cumsum(size)))[ends]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids, size = _joined(ids, ends, place)
+        return ids, np.cumsum(size)
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words: the lexicon's ids, or those that merging gives."""
+        rows = self.lex.places(words)
+        unseen = np.flatnonzero(rows < 0)
+        merged = self.tk.merge(words.take(pa.array(unseen)).to_pylist())
+        rows[unseen] = np.arange(len(unseen)) + len(self.lex.ends)
+        size = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        ids, n = _joined(np.concatenate((self.lex.ids, np.frombuffer(b"".join(merged), ID))),
+                         np.concatenate((self.lex.ends, len(self.lex.ids) + np.cumsum(size))), rows)
+        return ids, np.cumsum(n)
 
 
 def _encoding(docs: DataFrame, block: bytes, path: str | None):
-    """For tasks: (keys, ids) of the (key, text) rows of batches, a chunk at a time. A process
-    keeps the pieces and the lexicon of one job, the last that it had a task of."""
+    """For tasks: keys, ids and how many ids there are to each key's end, of the (key, text) rows of
+    batches, a chunk at a time. A process keeps the lexicon of one job, the last that it had a task
+    of."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     name = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    def run(batches: Iterator[pa.RecordBatch]
+            ) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         encoder = c.newest("encoder", name, lambda: Encoder(
             tokenizer(path), mapped(shared.value)))
         for keys, texts in _chunks(batches):
-            ids = encoder.encode(texts)
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.array(keys, pa.int64()), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            for where, ids, ends in encoder.encode(texts):
+                yield keys.take(pa.array(where)), ids, ends
 
     return run
 
 
-def _spelled(tk: Tokenizer, lists: pa.ListArray) -> pa.Array:
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    return pa.array([tk.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])],
-                    pa.string())
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()),
+                                    pa.array(ids, pa.int32()))
 
 
 def _key_and_text(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -523,8 +579,8 @@ def encoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "tex
     encoding = _encoding(docs, block, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in encoding(batches):
-            yield pa.RecordBatch.from_arrays([keys, ids], names=["key", "ids"])
+        for keys, ids, ends in encoding(batches):
+            yield pa.RecordBatch.from_arrays([keys, _lists(ids, ends)], names=["key", "ids"])
 
     return _key_and_text(docs, key, text).mapInArrow(
         run, "key long, ids array<int>").withColumnRenamed("key", key)
@@ -538,8 +594,11 @@ def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokenizer(path)
         for batch in batches:
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0]:bounds[-1]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), _spelled(tk, batch.column(1))],
+                [batch.column(0), lists, tk.decode(ids, bounds[1:] - bounds[0])],
                 names=["key", "ids", "text"])
 
     plain = rows.select(F.col(key).cast("long").alias("key"), F.coalesce(
@@ -556,8 +615,8 @@ def recoded(docs: DataFrame, block: bytes, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = tokenizer(path)
-        for keys, ids in encoding(batches):
-            yield pa.RecordBatch.from_arrays([keys, ids, _spelled(tk, ids)],
+        for keys, ids, ends in encoding(batches):
+            yield pa.RecordBatch.from_arrays([keys, _lists(ids, ends), tk.decode(ids, ends)],
                                              names=["key", "ids", "text"])
 
     return _key_and_text(docs, key, text).mapInArrow(

@@ -12,6 +12,7 @@ from fractions import Fraction
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -159,6 +160,45 @@ def test_a_process_keeps_what_one_job_has_left(spark):
     assert max(counts) == 1
 
 
+def test_columns_are_cut_as_texts_are():
+    tk, rng = bpe.tokenizer(), random.Random(13)
+    texts = strange_texts() + ["".join(rng.choice("ab1!' \n\t\x1c\xa0\u3000é") for _ in range(
+        rng.randint(0, 30))) for _ in range(500)] + ["a b, c. a", "one", "", " "]
+    seen = []
+    for where, pieces, codes, ends in tk.cut(pa.array(texts)):
+        found = pieces.to_pylist()
+        assert len(set(found)) == len(found) and set(codes.tolist()) == set(range(len(found)))
+        for i, s, e in zip(where.tolist(), [0, *ends.tolist()], ends.tolist()):
+            assert [found[x] for x in codes[s:e]] == tk.pieces(texts[i])
+        words, places, stops, order = tk.words_of_pieces(pieces)
+        words = words.to_pylist()
+        assert len(set(words)) == len(words)
+        for i, s, e in zip(order.tolist(), [0, *stops.tolist()], stops.tolist()):
+            assert [words[x] for x in places[s:e]] == tk.words(found[i])
+        seen += where.tolist()
+    assert sorted(seen) == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("size", [1, 7, 1 << 20])
+def test_ids_and_counts_whatever_the_chunks(monkeypatch, library, size):
+    monkeypatch.setattr(bpe, "CHUNK", size)
+    monkeypatch.setattr(bpe, "BLOCK", size)
+    tk, texts = bpe.tokenizer(), [b"a b", None, b"", b"\xff\xfe \xed\xa0\x80", "é  <|endoftext|> b".encode()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([b"out", *texts])],
+                                       names=["k", "t"]).slice(1)
+    coder = bpe.Encoder(tk, bpe.Lexicon(bpe.compiled([(b" b", [275])])))
+    got = {}
+    for keys, some in bpe._chunks(iter([batch])):
+        for where, ids, ends in coder.encode(some):
+            for k, s, e, t in zip(keys.take(pa.array(where)).to_pylist(), [0, *ends], ends,
+                                  tk.decode(ids, ends).to_pylist()):
+                got[k] = ids[s:e].tolist(), t
+    plain = [(t or b"").decode("utf-8", "replace") for t in texts]
+    assert library.encode(" b").ids == [275]
+    assert got == {k: (library.encode(t, add_special_tokens=False).ids, t)
+                   for k, t in enumerate(plain, 1)}
+
+
 def test_a_task_encodes_and_decodes_in_one_process(spark, odd):  # noqa: F811
     plan = bpe.op12_bpe(spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
