@@ -35,7 +35,7 @@ TOKENIZER = "byte_bpe_50k.json"
 LEXICON = 1 << 16    # words compiled at most
 LONGEST = 32         # bytes of a word in the lexicon, so that it stays under 2 MB an id array aside
 EXACT = 1 << 12      # counts told apart when the least frequent words of the lexicon are chosen
-CHUNK = 1 << 23      # bytes of text encoded at once
+CHUNK = 1 << 22      # bytes of text encoded at once
 BLOCK = 1 << 18      # pieces, or ids, spelled at once
 SIGNS = frozenset(".,;:!?")
 ID = "<i4"
