@@ -6,6 +6,8 @@ fingerprint is the set of its signatures. Likeness is the Jaccard measure of two
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Null keys come last; rows of one key follow each other by text, null text as empty. Keys
     are cut into ranges of about bucket_rows rows. The first row of a range is sent to the
-    range before it as well, so that each is a window of its own and texts move once.
+    range before it as well, so that each is a window of its own and texts move once. A plan
+    holds three numbers a range, in arrays that count as one literal each.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(key).cast("long").alias("id"))
@@ -85,22 +88,20 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
         "id", F.array(*[F.lit(i / wanted) for i in range(1, wanted)]) if wanted > 1
         else F.array(F.lit(0.5)), 10 * wanted)).first()[0] or []
     bounds = sorted(set(bounds))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    below = _count_at_most(F.col("id"), cuts, len(bounds))
+    below = _count_at_most(F.col("id"), bounds)
     bucket = F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(
         F.lit(len(bounds)) - below).cast("int")
     top = ids.groupBy(bucket.alias("bucket")).agg(F.max("id").alias("top")).collect()
-    firsts = sorted((r["bucket"], r["top"]) for r in top)
+    firsts = dict(sorted((r["bucket"], r["top"]) for r in top))
     rows = docs.select(F.col(key).cast("long").alias("id"),
                        F.coalesce(text, F.lit("")).alias("t")).withColumn("bucket", bucket)
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    goes = F.create_map(*[F.lit(x) for b, p in before.items() for x in (b, p)]) \
-        if before else F.create_map().cast("map<int,int>")
-    tops = F.create_map(*[F.lit(x) for b, t in firsts for x in (b, t)]).cast(
-        "map<int,bigint>") if firsts else F.create_map().cast("map<int,bigint>")
-    lead = F.col("id").eqNullSafe(F.try_element_at(tops, F.col("bucket")))
+    before = dict(zip(firsts, [*list(firsts)[-1:], *firsts]))
+    every, place = range(len(bounds) + 2), F.col("bucket") + 1
+    goes = F.try_element_at(_numbers([before.get(b) for b in every], "int"), place)
+    first = F.try_element_at(_numbers([firsts.get(b) for b in every], "bigint"), place)
+    lead = F.col("id").eqNullSafe(first)
     own = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))
-    ghost = F.struct(F.try_element_at(goes, F.col("bucket")).alias("b"), F.lit(True).alias("ghost"))
+    ghost = F.struct(goes.alias("b"), F.lit(True).alias("ghost"))
     sent = rows.withColumn("to", F.explode(F.when(lead, F.array(own, ghost)).otherwise(
         F.array(own)))).select("id", "t", "to.b", "to.ghost")
     order = Window.partitionBy("b").orderBy("ghost", F.desc_nulls_last("id"), "t")
@@ -109,16 +110,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
                         F.coalesce("next", "t").alias("next_text"))
 
 
-def _count_at_most(x: Column, cuts: Column, n: int) -> Column:
-    """How many of the n sorted cuts are at most x, by halving."""
-    at, step = F.lit(0), 1
-    while step * 2 <= n:
-        step *= 2
-    while step >= 1:
-        trial = at + step
-        at = F.when((trial <= n) & (F.try_element_at(cuts, trial) <= x), trial).otherwise(at)
-        step //= 2
-    return at
+def _numbers(values: list[int | None], kind: str) -> Column:
+    """values as an array that Spark folds to one literal, not an expression for each."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _count_at_most(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most x, by halving. Each step is told by the value of the
+    one before, not by its expression, which would hold that of every step before four times."""
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(_numbers(steps, "int"), F.lit(0), lambda at, step: F.when(
+        F.try_element_at(_numbers(cuts, "bigint"), at + step) <= x, at + step).otherwise(at))
 
 
 def edited(rows: DataFrame) -> DataFrame:

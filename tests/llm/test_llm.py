@@ -584,6 +584,23 @@ def test_next_document_across_ranges(spark):
         assert got == {order[i][1]: order[(i + 1) % len(order)][1] for i in range(len(order))}
 
 
+def test_plan_does_not_grow_with_ranges(spark):
+    rng = np.random.default_rng(4)
+    keys = [*rng.integers(-2**63, 2**63 - 1, 2000).tolist(), -2**63, 2**63 - 1, None, None]
+    keys += keys[:40] * 2
+    rows = [(k, None if i % 50 == 9 else f"t{i % 7}{i}") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4).cache()
+    few, many = (len(spotsigs.with_next(docs, bucket_rows=len(rows) // n)._jdf.queryExecution()
+                     .analyzed().toString()) for n in (4, 40))
+    assert many < few + 40 * 100                 # a range adds three numbers
+    order = sorted(((k, t or "") for k, t in rows),
+                   key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter((k, t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
+    for n in (50, 2):
+        assert Counter(map(tuple, spotsigs.with_next(docs, bucket_rows=n).collect())) == want
+    docs.unpersist()
+
+
 def test_near_duplicate_sets_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     sets = [sorted(rng.choice(60, rng.integers(1, 25), False).tolist()) for _ in range(60)]
