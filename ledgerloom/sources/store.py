@@ -97,8 +97,14 @@ class Store:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, name))
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        local = fs.getUri().getScheme() == "file"
+        if local:                                # its create() looks first, and creates later
+            taken = jvm.java.io.File(fs.makeQualified(path).toUri().getPath())
+            taken.getParentFile().mkdirs()
+            if not taken.createNewFile():
+                return False
         try:
-            out = fs.create(path, False)
+            out = fs.create(path, local)
         except Py4JJavaError as e:
             if "AlreadyExists" not in str(e.java_exception):
                 raise
